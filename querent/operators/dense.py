@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querent.functions.vectors import normalize, similarity
 from querent.operators.topk import Limits, keep_own_database, topk_hits
@@ -31,7 +32,8 @@ def embed(
 
     The factory runs once per task, so a model is loaded once per task.
     """
-    schema = df.schema.add(vector_col, "array<double>")
+    vector_field = T.StructField(vector_col, T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*df.schema.fields, vector_field])
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, dim = encoder_factory(), None

@@ -2,44 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_LONG_LIMIT = 9.2e18
 
-
-def _number(value: Column) -> Column:
+def _number(value: str) -> str:
     """Whole numbers as exact integer text, others as double text."""
-    as_double = value.cast("double")
-    whole = (as_double == F.rint(as_double)) & (F.abs(as_double) < _LONG_LIMIT)
-    text = F.when(whole, as_double.cast("bigint").cast("string")).otherwise(
-        as_double.cast("string")
+    number = f"CAST({value} AS DOUBLE)"
+    return (
+        f"CASE WHEN rint({number}) = {number} AND abs({number}) < 9.2e18D "
+        f"THEN concat('n', CAST({number} AS BIGINT)) ELSE concat('n', {number}) END"
     )
-    return F.concat(F.lit("n"), text)
 
 
-def _tagged(value: Column, data_type: T.DataType) -> Column:
-    """The value as text with a type tag; NULL stays NULL."""
+def _tagged(value: str, data_type: T.DataType) -> str:
+    """SQL for the value as text with a type tag; NULL stays NULL."""
     if isinstance(data_type, T.NullType):
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     if isinstance(data_type, T.BooleanType):
-        return F.concat(F.lit("n"), value.cast("int").cast("string"))
+        return f"concat('n', CAST({value} AS INT))"
     if isinstance(data_type, T.IntegralType):
-        return F.concat(F.lit("n"), value.cast("string"))
+        return f"concat('n', {value})"
     if isinstance(data_type, T.DecimalType):
-        whole = value.cast(T.DecimalType(38, 0))
-        exact = F.concat(F.lit("n"), whole.cast("string"))
-        return F.when(whole == value, exact).otherwise(_number(value))
+        whole = f"CAST({value} AS DECIMAL(38, 0))"
+        return f"CASE WHEN {whole} = {value} THEN concat('n', {whole}) ELSE {_number(value)} END"
     if isinstance(data_type, T.FractionalType):
         return _number(value)
     if isinstance(data_type, T.StringType):
-        return F.concat(F.lit("s"), value)
+        return f"concat('s', {value})"
     if isinstance(data_type, T.BinaryType):
-        return F.concat(F.lit("b"), F.hex(value))
+        return f"concat('b', hex({value}))"
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.concat(F.lit("d"), value.cast("string"))
-    return F.when(value.isNotNull(), F.concat(F.lit("j"), F.to_json(F.struct(value.alias("v")))))
+        return f"concat('d', {value})"
+    return f"CASE WHEN {value} IS NOT NULL THEN concat('j', to_json(struct({value} AS v))) END"
 
 
 def row_keys(result: DataFrame) -> DataFrame:
@@ -47,7 +42,7 @@ def row_keys(result: DataFrame) -> DataFrame:
 
     Columns are renamed by position first, so duplicate names are no obstacle.
     """
-    names = [f"c{i}" for i in range(len(result.columns))]
-    renamed = result.toDF(*names)
-    parts = [_tagged(F.col(f.name), f.dataType) for f in renamed.schema.fields]
-    return renamed.select(F.to_json(F.array(*parts)).alias("row_key"))
+    fields = result.schema.fields
+    names = [f"c{i}" for i in range(len(fields))]
+    parts = [_tagged(name, field.dataType) for name, field in zip(names, fields)]
+    return result.toDF(*names).selectExpr(f"to_json(array({', '.join(parts)})) AS row_key")

@@ -14,10 +14,14 @@ def l2_norm(vector: Column) -> Column:
 
 
 def normalize(vector: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
+    """Unit length; a zero vector stays as it is.
+
+    The norm is repeated beside the values, not used inside the lambda, which
+    would compute it again for every value.
+    """
     norm = l2_norm(vector)
-    scale = F.when(norm > 0, norm).otherwise(F.lit(1.0))
-    return F.transform(vector, lambda x: x.cast("double") / scale)
+    scale = F.array_repeat(F.when(norm > 0, norm).otherwise(F.lit(1.0)), F.size(vector))
+    return F.zip_with(vector, scale, lambda x, by: x.cast("double") / by)
 
 
 def squared_l2(left: Column, right: Column) -> Column:

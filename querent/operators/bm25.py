@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions.text import tokenize
-from querent.operators.topk import Limits, keep_own_database, topk_hits
+from querent.operators.topk import Limits, QuerySize, keep_own_database, topk_hits
 from querent.session import new_run_dir
 from querent.sources.files import require_sources
 
@@ -121,6 +121,15 @@ def _query_weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
     )
 
 
+def _size(queries: DataFrame) -> QuerySize:
+    """A word takes its text, a weight and an offset: at most ten bytes per character."""
+    row = queries.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("text_bytes"),
+    ).first()
+    return QuerySize(row.n, 10 * row.text_bytes + 64 * row.n)
+
+
 def _rows_of(lists: pa.Array) -> np.ndarray:
     """For each value of a list array, the row it belongs to."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
@@ -194,6 +203,7 @@ def bm25_topk(
         k * overfetch if within and mode == "post" else k,
         within=within and mode == "pre",
         decimals=decimals,
+        size=_size(queries),
         item_bytes=lambda: one.n_tokens * 16 + one.n_docs * 64,
         limits=limits,
     ).withColumnRenamed("goodness", "score")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querent.functions.vectors import normalize, similarity
-from querent.operators.topk import Limits, keep_own_database, topk_hits
+from querent.operators.topk import Limits, QuerySize, keep_own_database, topk_hits
+from querent.session import new_run_dir
 from querent.sources.files import require_sources
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -51,6 +52,14 @@ def embed(
     return df.mapInPandas(encode, schema)
 
 
+def embed_once(df: DataFrame, text_col: str, encoder_factory, batch_size: int = 32) -> DataFrame:
+    """``embed``, stored in the shared folder: later reads do not encode again."""
+    spark = df.sparkSession
+    path = new_run_dir(spark, "embedded")
+    embed(df, text_col, encoder_factory, batch_size).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_vector_index(
     items: DataFrame, path: str, vector_col: str = "v", partition_by: Sequence[str] = ("db_id",)
 ) -> None:
@@ -93,7 +102,9 @@ def _distance_scorer(queries: pa.Table):
 def _nearest(
     index: DataFrame, queries: DataFrame, k: int, within: bool, limits: Limits
 ) -> DataFrame:
-    dim = index.select(F.size("v").alias("dim")).first()
+    first = index.select(F.size("v").alias("dim")).first()
+    vector_bytes = (first.dim if first else 0) * 8 + 64
+    n_queries = queries.count()
     db_id = F.col("db_id") if "db_id" in queries.columns else F.lit(None).cast("string")
     vector = F.col("v").cast("array<double>").alias("v")
     hits = topk_hits(
@@ -103,7 +114,8 @@ def _nearest(
         k,
         within=within,
         decimals=TIE_DECIMALS,
-        item_bytes=lambda: index.count() * (dim.dim * 8 + 64) if dim else 0,
+        size=QuerySize(n_queries, n_queries * vector_bytes),
+        item_bytes=lambda: index.count() * vector_bytes,
         limits=limits,
     )
     return hits.withColumn("distance", -F.col("goodness")).drop("goodness")

@@ -22,7 +22,7 @@ STATEMENTS_PER_BATCH = 256
 @dataclass(frozen=True)
 class StatementRuns:
     """``outcomes(stmt_id, db_id, sql, success, error)`` and
-    ``rows(stmt_id, row_key)``, the distinct result rows of the successful ones."""
+    ``rows(stmt_id, row_key)``, the result rows of the successful ones."""
 
     outcomes: DataFrame
     rows: DataFrame
@@ -40,17 +40,18 @@ def _condition(error: Exception) -> str:
 def _run_one(
     database: Callable[[str], SparkSession], db_id: str, sql: str | None, path: str
 ) -> tuple[bool, str | None]:
-    """Run one statement and store its distinct row keys; never raises.
+    """Run one statement and store its row keys; never raises.
 
-    Only queries are run: the text must be valid as a subquery, which no
-    command or write is, before it is given to Spark on its own.
+    Only queries are run. A text that starts as a query cannot be anything else;
+    any other must first be valid as a subquery, which no command or write is.
     """
     try:
         if sql is None:
             return False, "NULL_STATEMENT"
         session, query = database(db_id), sql.strip().rstrip(";")
-        session.sql(f"SELECT * FROM (\n{query}\n)")
-        row_keys(session.sql(query)).distinct().write.mode("overwrite").parquet(path)
+        if not query.upper().startswith(("SELECT", "VALUES")):
+            session.sql(f"SELECT * FROM (\n{query}\n)")
+        row_keys(session.sql(query)).write.mode("overwrite").parquet(path)
         return True, None
     except Exception as error:
         return False, _condition(error)
@@ -100,8 +101,8 @@ def results_equal(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     differ the sets differ. Only pairs that agree on both are compared row by
     row, each distinct pair of statements once. An absent row set is empty.
     """
-    digests = rows.groupBy("stmt_id").agg(
-        F.count_distinct("row_key").alias("n"),
+    digests = rows.distinct().groupBy("stmt_id").agg(
+        F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("row_key")).alias("digest"),
     )
 

@@ -42,6 +42,14 @@ class Limits:
     cell_bytes: int = 64 << 20
 
 
+@dataclass(frozen=True)
+class QuerySize:
+    """Number of queries and a bound of the bytes they take, both measured."""
+
+    rows: int
+    bytes: int
+
+
 def _is_unfiltered(db_ids: pa.ChunkedArray) -> np.ndarray:
     """A query without a database searches the whole corpus."""
     return pc.equal(pc.coalesce(db_ids, pa.scalar("")), "").to_numpy(zero_copy_only=False)
@@ -138,12 +146,6 @@ def _scan_batches(
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _measure(queries: DataFrame) -> tuple[int, int]:
-    size = F.coalesce(F.sum(F.length(F.to_json(F.struct(*queries.columns)))), F.lit(0))
-    row = queries.agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
-    return row.n, row.bytes
-
-
 def topk_hits(
     items: DataFrame,
     queries: DataFrame,
@@ -152,13 +154,15 @@ def topk_hits(
     *,
     within: bool,
     decimals: int,
+    size: QuerySize,
     item_bytes: Callable[[], int],
     limits: Limits = Limits(),
 ) -> DataFrame:
     """``(query_id, db_id, rank, item_id, corpus_idx, item_db_id, goodness)``.
 
-    ``items``: ``item_id, corpus_idx, db_id`` and what ``score`` reads.
-    ``queries``: ``query_id, db_id`` and what ``score`` reads. Scores equal to
+    ``items``: ``item_id, corpus_idx, db_id`` and what the scorer reads.
+    ``queries``: ``query_id, db_id`` and what the scorer reads; ``size`` decides
+    how they travel. Scores equal to
     ``decimals`` places are ties and keep corpus order, so results do not
     depend on the order of floating-point sums.
     """
@@ -188,8 +192,7 @@ def topk_hits(
             ("tied", pa.float64()),
         ]
     )
-    n_queries, n_bytes = _measure(queries)
-    if n_queries <= limits.broadcast_queries and n_bytes <= limits.broadcast_bytes:
+    if size.rows <= limits.broadcast_queries and size.bytes <= limits.broadcast_bytes:
         table = queries.toArrow()
         shipped = spark.sparkContext.broadcast(table)
 
@@ -200,7 +203,7 @@ def topk_hits(
             items = _prune_databases(items, table)
         found = items.mapInArrow(scan, out)
     else:
-        q_cells = ceil(max(n_queries / limits.cell_queries, n_bytes / limits.cell_bytes))
+        q_cells = max(1, ceil(max(size.rows / limits.cell_queries, size.bytes / limits.cell_bytes)))
         i_cells = max(1, ceil(item_bytes() / limits.cell_bytes))
         found = _grid(items, queries, q_cells, i_cells).applyInArrow(
             _cell_function(scorer, k, within, decimals, arrow_out), out

@@ -13,7 +13,7 @@ from querent.operators.context import (
     PromptConfig,
     prompt_configs,
 )
-from querent.operators.dense import embed, vector_topk
+from querent.operators.dense import embed_once, vector_topk
 from querent.operators.generation import Generator, generate
 from querent.operators.topk import attach_items
 
@@ -33,7 +33,7 @@ def dense_hits(
     questions: DataFrame, index: DataFrame, encoder_factory, k: int = EXAMPLES_PER_PROMPT
 ) -> DataFrame:
     """Nearest examples of each question's own database, with question and query."""
-    asked = embed(questions.select("query_id", "db_id", "text"), "text", encoder_factory)
+    asked = embed_once(questions.select("query_id", "db_id", "text"), "text", encoder_factory)
     hits = vector_topk(index, asked, k, within=True)
     return attach_items(hits, index.select("item_id", "question", "query"))
 

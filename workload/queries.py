@@ -185,7 +185,7 @@ def vector_topk_sweep(spark, sf):
 
 def text_vector_topk(spark, sf):
     """Encode documents and questions, then search within the language."""
-    asked = dense.embed(inputs.benchmark_queries(spark, sf), "text", inputs.ENCODER)
+    asked = dense.embed_once(inputs.benchmark_queries(spark, sf), "text", inputs.ENCODER)
     return _vector_hits(
         dense.vector_topk(inputs.documents_vectors(spark, sf), asked, K, within=True)
     )

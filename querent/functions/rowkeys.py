@@ -24,8 +24,10 @@ def _tagged(value: str, data_type: T.DataType) -> str:
     if isinstance(data_type, T.IntegralType):
         return f"concat('n', {value})"
     if isinstance(data_type, T.DecimalType):
+        # Compared in the value's own type: a common type may drop decimal places.
         whole = f"CAST({value} AS DECIMAL(38, 0))"
-        return f"CASE WHEN {whole} = {value} THEN concat('n', {whole}) ELSE {_number(value)} END"
+        again = f"try_cast({whole} AS {data_type.simpleString()})"
+        return f"CASE WHEN {again} = {value} THEN concat('n', {whole}) ELSE {_number(value)} END"
     if isinstance(data_type, T.FractionalType):
         return _number(value)
     if isinstance(data_type, T.StringType):

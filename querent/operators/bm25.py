@@ -96,8 +96,12 @@ def build_bm25_index(corpus: DataFrame, path: str | None = None, **params: float
     return read_bm25_index(spark, path)
 
 
-def _query_weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
-    """``(query_id, db_id, terms, weights)``; a repeated word counts again."""
+def _query_weights(index: Bm25Index, queries: DataFrame, few: bool) -> DataFrame:
+    """``(query_id, db_id, terms, weights)``; a repeated word counts again.
+
+    The words of few queries are broadcast, so that the whole vocabulary is
+    scanned but not shuffled.
+    """
     db_id = F.col("db_id") if "db_id" in queries.columns else F.lit(None).cast("string")
     asked = queries.select(
         "query_id", db_id.alias("db_id"), tokenize(F.coalesce("text", F.lit(""))).alias("tokens")
@@ -105,7 +109,7 @@ def _query_weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
     words = asked.select("query_id", F.explode("tokens").alias("term"))
     counted = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = (
-        counted.join(index.terms, "term")
+        index.terms.join(F.broadcast(counted) if few else counted, "term")
         .groupBy("query_id")
         .agg(
             F.array_sort(
@@ -195,15 +199,15 @@ def bm25_topk(
     among the ``overfetch * k`` best (``post``). ``fill`` returns k items even
     where fewer share a word with the query, the others with score zero.
     """
-    one = index.stats.first()
+    one, size = index.stats.first(), _size(queries)
     hits = topk_hits(
         index.docs,
-        _query_weights(index, queries),
+        _query_weights(index, queries, limits.allow_broadcast(size)),
         _bm25_scorer(one.k1, one.b, one.avgdl, matched_only=not fill),
         k * overfetch if within and mode == "post" else k,
         within=within and mode == "pre",
         decimals=decimals,
-        size=_size(queries),
+        size=size,
         item_bytes=lambda: one.n_tokens * 16 + one.n_docs * 64,
         limits=limits,
     ).withColumnRenamed("goodness", "score")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from querent.functions.vectors import normalize, similarity
 from querent.operators.topk import Limits, QuerySize, keep_own_database, topk_hits
-from querent.session import new_run_dir
+from querent.session import stored
 from querent.sources.files import require_sources
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -54,10 +54,7 @@ def embed(
 
 def embed_once(df: DataFrame, text_col: str, encoder_factory, batch_size: int = 32) -> DataFrame:
     """``embed``, stored in the shared folder: later reads do not encode again."""
-    spark = df.sparkSession
-    path = new_run_dir(spark, "embedded")
-    embed(df, text_col, encoder_factory, batch_size).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(embed(df, text_col, encoder_factory, batch_size), "embedded")
 
 
 def write_vector_index(
@@ -66,17 +63,20 @@ def write_vector_index(
     """Store unit vectors with their metadata; the indexed text is left out.
 
     Partitioning by database lets a search within databases skip folders; give
-    no columns where databases are very many.
+    no columns where databases are very many. Rows are brought together by
+    folder to avoid many small files; adaptive execution splits a large folder.
     """
     unit = items.withColumn("v", normalize(F.col(vector_col))).drop("text")
+    if partition_by:
+        unit = unit.hint("rebalance", *partition_by)
     unit.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
     """The stored index; searching one that was never built is an error."""
     require_sources(spark, [path])
-    stored = spark.read.option("basePath", path).parquet(path)
-    return stored.withColumn("db_id", F.col("db_id").cast("string"))
+    index = spark.read.parquet(path)
+    return index.withColumn("db_id", F.col("db_id").cast("string"))
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -92,9 +92,9 @@ def _distance_scorer(queries: pa.Table):
     asked_square = (asked * asked).sum(axis=1)[:, None]
 
     def score(items: pa.RecordBatch) -> np.ndarray:
-        stored = _matrix(items["v"])
-        square = (stored * stored).sum(axis=1)[None, :]
-        return -np.maximum(asked_square + square - 2.0 * (asked @ stored.T), 0.0)
+        held = _matrix(items["v"])
+        square = (held * held).sum(axis=1)[None, :]
+        return -np.maximum(asked_square + square - 2.0 * (asked @ held.T), 0.0)
 
     return score
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querent.session import stored
+
 # Given the queries, a function from a block of items to a matrix (queries, items):
 # larger is better, NaN where an item is no candidate.
 Scorer = Callable[[pa.Table], Callable[[pa.RecordBatch], np.ndarray]]
@@ -32,6 +34,14 @@ Scorer = Callable[[pa.Table], Callable[[pa.RecordBatch], np.ndarray]]
 BLOCK_PAIRS = 4_000_000
 
 
+@dataclass(frozen=True)
+class QuerySize:
+    """Number of queries and a bound of the bytes they take, both measured."""
+
+    rows: int
+    bytes: int
+
+
 @dataclass(frozen=True)
 class Limits:
     """Bounds of what one task or the driver may hold."""
@@ -41,25 +51,53 @@ class Limits:
     cell_queries: int = 5_000
     cell_bytes: int = 64 << 20
 
+    def allow_broadcast(self, size: QuerySize) -> bool:
+        return size.rows <= self.broadcast_queries and size.bytes <= self.broadcast_bytes
 
-@dataclass(frozen=True)
-class QuerySize:
-    """Number of queries and a bound of the bytes they take, both measured."""
 
-    rows: int
-    bytes: int
+class _Group:
+    """Queries that look at the same items, and where they stand among all."""
 
+    def __init__(self, queries: pa.Table, positions: np.ndarray, scorer: Scorer):
+        self.positions = positions
+        self.score = scorer(queries.take(pa.array(positions)))
 
-def _is_unfiltered(db_ids: pa.ChunkedArray) -> np.ndarray:
-    """A query without a database searches the whole corpus."""
-    return pc.equal(pc.coalesce(db_ids, pa.scalar("")), "").to_numpy(zero_copy_only=False)
 
+class _Groups:
+    """Splits queries by what they look at, so that only pairs that count are scored.
 
-def _same_database(queries: pa.Table, items: pa.RecordBatch) -> np.ndarray:
-    names = pc.unique(queries["db_id"])
-    query_code = pc.index_in(queries["db_id"], value_set=names).to_numpy(zero_copy_only=False)
-    item_code = pc.fill_null(pc.index_in(items["db_id"], value_set=names), -1).to_numpy()
-    return (query_code[:, None] == item_code[None, :]) | _is_unfiltered(queries["db_id"])[:, None]
+    Searching within databases, a block of items meets the queries of its own
+    database; queries without one, and all queries otherwise, meet every item.
+    """
+
+    def __init__(self, queries: pa.Table, scorer: Scorer, within: bool):
+        names = pc.coalesce(queries["db_id"], pa.scalar("")).combine_chunks()
+        self.names = pc.unique(names).filter(pc.not_equal(pc.unique(names), ""))
+        code = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy()
+        if not within:
+            code = np.full(len(code), -1)
+            self.names = self.names.slice(0, 0)
+        self.make = lambda positions: _Group(queries, positions, scorer)
+        self.of_code = {c: np.flatnonzero(code == c) for c in np.unique(code)}
+        self.made: dict[int, _Group] = {}
+
+    def _group(self, code: int) -> _Group:
+        if code not in self.made:
+            self.made[code] = self.make(self.of_code[code])
+        return self.made[code]
+
+    def meetings(self, items: pa.RecordBatch) -> Iterator[tuple[_Group, pa.RecordBatch]]:
+        """Each group with its items of this batch, the items in corpus order."""
+        items = items.take(pc.sort_indices(items["corpus_idx"]))
+        if -1 in self.of_code:
+            yield self._group(-1), items
+        if len(self.names):
+            code = pc.fill_null(pc.index_in(items["db_id"], value_set=self.names), -1).to_numpy()
+            by_code = np.argsort(code, kind="stable")
+            present, starts = np.unique(code[by_code], return_index=True)
+            for c, rows in zip(present, np.split(by_code, starts[1:])):
+                if c >= 0:
+                    yield self._group(c), items.take(pa.array(rows))
 
 
 def _best_mask(goodness: np.ndarray, k: int) -> np.ndarray:
@@ -111,27 +149,25 @@ def _scan_batches(
     decimals: int,
     schema: pa.Schema,
 ) -> Iterator[pa.RecordBatch]:
-    keeper, score = _Keeper(k), scorer(queries)
-    block = max(1, BLOCK_PAIRS // max(1, queries.num_rows))
+    keeper, groups = _Keeper(k), _Groups(queries, scorer, within)
     for batch in batches:
-        batch = batch.take(pc.sort_indices(batch["corpus_idx"]))
-        for start in range(0, batch.num_rows, block):
-            items = batch.slice(start, block)
-            goodness = score(items)
-            goodness[np.isnan(goodness)] = -np.inf
-            if within:
-                goodness[~_same_database(queries, items)] = -np.inf
-            tied = np.round(goodness, decimals)
-            query, item = np.nonzero(_best_mask(tied, k))
-            keeper.add(
-                query,
-                tied[query, item],
-                goodness[query, item],
-                *(
-                    items[name].to_numpy(zero_copy_only=False)[item]
-                    for name in ("corpus_idx", "item_id", "db_id")
-                ),
-            )
+        for group, items in groups.meetings(batch):
+            block = max(1, BLOCK_PAIRS // len(group.positions))
+            for start in range(0, items.num_rows, block):
+                part = items.slice(start, block)
+                goodness = group.score(part)
+                goodness[np.isnan(goodness)] = -np.inf
+                tied = np.round(goodness, decimals)
+                query, item = np.nonzero(_best_mask(tied, k))
+                keeper.add(
+                    group.positions[query],
+                    tied[query, item],
+                    goodness[query, item],
+                    *(
+                        part[name].to_numpy(zero_copy_only=False)[item]
+                        for name in ("corpus_idx", "item_id", "db_id")
+                    ),
+                )
     best = keeper.best()
     if best is not None and len(best[0]):
         query, tied, goodness, corpus_idx, item_id, db_id = best
@@ -192,7 +228,7 @@ def topk_hits(
             ("tied", pa.float64()),
         ]
     )
-    if size.rows <= limits.broadcast_queries and size.bytes <= limits.broadcast_bytes:
+    if limits.allow_broadcast(size):
         table = queries.toArrow()
         shipped = spark.sparkContext.broadcast(table)
 
@@ -255,9 +291,12 @@ def _arrow_type(data_type: T.DataType) -> pa.DataType:
 
 
 def attach_items(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Add the corpus columns to the hits; k rows per query meet the corpus once."""
-    extra = corpus.drop("corpus_idx", "db_id")
-    return hits.join(extra, "item_id")
+    """Add the corpus columns to the hits.
+
+    The hits are stored first: the scoring is not repeated, and as their size is
+    known, few hits are broadcast and the corpus is scanned without a shuffle.
+    """
+    return stored(hits, "hits").join(corpus.drop("corpus_idx", "db_id"), "item_id")
 
 
 def keep_own_database(hits: DataFrame, k: int) -> DataFrame:

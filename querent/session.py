@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "querent", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,3 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
 def new_run_dir(spark: SparkSession, purpose: str) -> str:
     """A path of its own in the shared folder, for one run's tables."""
     return f"{shared_dir(spark)}/querent/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    What was expensive is computed once and survives a lost executor, and Spark
+    knows the size from then on, by which it chooses how to join.
+    """
+    path = new_run_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

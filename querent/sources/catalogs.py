@@ -14,9 +14,21 @@ CATALOG_STRUCT = (
 )
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per database of a JSON array; the last duplicate wins."""
+def read_catalog(
+    spark: SparkSession, path: str, layout: str = "array", ord_col: str = "ord"
+) -> DataFrame:
+    """One row per database; the last duplicate wins.
+
+    ``layout="array"``: one JSON array, ordered by position. ``layout="lines"``:
+    JSON lines ordered by ``ord_col``; this form is splittable.
+    """
     require_sources(spark, [path])
+    if layout == "lines":
+        row = f"{CATALOG_STRUCT.removesuffix('>')},{ord_col}:bigint>"
+        rows = spark.read.text(path).select(F.from_json("value", row).alias("e"))
+        return last_by_database(rows.select("e.*"), ord_col)
+    if layout != "array":
+        raise ValueError(f"unknown layout: {layout}")
     document = spark.read.text(path, wholetext=True)
     entries = document.select(
         F.posexplode(F.from_json("value", f"array<{CATALOG_STRUCT}>")).alias("pos", "e")
@@ -30,6 +42,6 @@ def last_by_database(catalog: DataFrame, ord_col: str = "ord") -> DataFrame:
     ``max_by`` combines on the map side, so a database that was registered
     very often sends one row per task.
     """
-    fields = [name for name in catalog.columns if name != "db_id"]
+    fields = [name for name in catalog.columns if name not in ("db_id", ord_col)]
     last = F.max_by(F.struct(*fields), F.col(ord_col))
     return catalog.groupBy("db_id").agg(last.alias("last")).select("db_id", "last.*")

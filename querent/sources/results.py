@@ -20,7 +20,8 @@ DOCUMENT_SCHEMA = (
 def write_method_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Save the rows by method; only the methods present are replaced."""
     (
-        results.write.mode("overwrite")
+        results.hint("rebalance", "method")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("method")
         .format(fmt)

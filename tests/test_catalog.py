@@ -147,3 +147,11 @@ def test_counts(examples, catalog):
     assert [(r.db_id, r.n, r.first_idx) for r in top] == [("shop", 2, 0), ("plain", 1, 1)]
     summary = {r.part: tuple(r)[1:] for r in metrics.dataset_summary(examples, catalog).collect()}
     assert summary == {"train": (3, 2), "dev": (3, 2), "catalog": (2, 2)}
+
+
+def test_catalog_lines_are_ordered_by_their_column(spark, tmp_path):
+    rows = [dict(SHOP, ord=7), dict(OLD_SHOP, ord=3), dict(PLAIN, ord=1)]
+    (tmp_path / "tables.jsonl").write_text("\n".join(json.dumps(row) for row in rows))
+    catalog = read_catalog(spark, str(tmp_path / "tables.jsonl"), layout="lines")
+    texts = {r.db_id: r.schema_text for r in schema.render_schema_text(catalog).collect()}
+    assert texts == {"shop": SHOP_TEXT, "plain": PLAIN_TEXT}

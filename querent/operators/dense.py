@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from querent.functions.vectors import normalize, similarity
 from querent.operators.topk import Limits, QuerySize, keep_own_database, topk_hits
 from querent.session import stored
-from querent.sources.files import require_sources
+from querent.sources.files import read_partitioned
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -74,9 +74,7 @@ def write_vector_index(
 
 def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
     """The stored index; searching one that was never built is an error."""
-    require_sources(spark, [path])
-    index = spark.read.parquet(path)
-    return index.withColumn("db_id", F.col("db_id").cast("string"))
+    return read_partitioned(spark, path, "db_id")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:

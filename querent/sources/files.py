@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def _path(spark: SparkSession, path: str):
@@ -39,3 +40,14 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.parquet(path)
     slots = spark.sparkContext.defaultParallelism
     return table.repartition(slots) if table.rdd.getNumPartitions() < slots else table
+
+
+def read_partitioned(spark: SparkSession, path: str, key: str, fmt: str = "parquet") -> DataFrame:
+    """Read a table with folders by ``key``, the key as the text it was.
+
+    Without a schema Spark would guess a type for it and turn ``007`` into 7.
+    """
+    require_sources(spark, [path])
+    found = spark.read.format(fmt).load(path).schema
+    fields = [T.StructField(key, T.StringType()) if f.name == key else f for f in found.fields]
+    return spark.read.format(fmt).schema(T.StructType(fields)).load(path)

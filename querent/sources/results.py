@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.sources.files import exists, require_sources
+from querent.sources.files import exists, read_partitioned, require_sources
 
 DETAIL_STRUCT = (
     "struct<index:bigint,question:string,db_id:string,gold_sql:string,"
@@ -30,8 +30,7 @@ def write_method_results(results: DataFrame, path: str, fmt: str = "parquet") ->
 
 
 def read_method_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    require_sources(spark, [path])
-    return spark.read.format(fmt).load(path)
+    return read_partitioned(spark, path, "method", fmt)
 
 
 def read_method_documents(

@@ -132,6 +132,19 @@ def test_embed_and_index_round_trip(spark, tmp_path):
         dense.read_vector_index(spark, str(tmp_path / "none"))
 
 
+def test_database_names_that_look_like_numbers(spark, tmp_path):
+    rows = [(i, i, db, [1.0, float(i)], "t") for i, db in enumerate(["007", "7", "1e2", None])]
+    items = spark.createDataFrame(
+        rows, "item_id long, corpus_idx long, db_id string, v array<double>, text string"
+    )
+    dense.write_vector_index(items, str(tmp_path / "index"))
+    index = dense.read_vector_index(spark, str(tmp_path / "index"))
+    assert {r.item_id: r.db_id for r in index.collect()} == {0: "007", 1: "7", 2: "1e2", 3: None}
+    asked = spark.createDataFrame([(1, "007", [1.0, 0.0])], "query_id long, db_id string, v array<double>")
+    hits = dense.vector_topk(index, asked, 3, within=True, mode="pre").collect()
+    assert [r.item_id for r in hits] == [0]
+
+
 def test_vectors_of_different_length_are_an_error(spark):
     bad = lambda: lambda texts: np.zeros((len(texts), 2 + len(texts)))
     df = spark.range(3).selectExpr("'x' AS text").coalesce(1)

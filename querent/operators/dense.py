@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from querent.functions.vectors import normalize, similarity
 from querent.operators.topk import Limits, QuerySize, keep_own_database, topk_hits
@@ -31,15 +30,14 @@ def embed(
 ) -> DataFrame:
     """Add ``vector_col``: each text encoded, in batches, to one fixed length.
 
-    The factory runs once per task, so a model is loaded once per task.
+    The factory runs once per task, so a model is loaded once per task. Only the
+    text goes to Python; the other columns stay where they are.
     """
-    vector_field = T.StructField(vector_col, T.ArrayType(T.DoubleType()))
-    schema = T.StructType([*df.schema.fields, vector_field])
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder, dim = encoder_factory(), None
-        for frame in frames:
-            texts = frame[text_col].fillna("").tolist()
+        for batch in batches:
+            texts = batch.fillna("").tolist()
             vectors: list[np.ndarray] = []
             for start in range(0, len(texts), batch_size):
                 matrix = np.asarray(encoder(texts[start : start + batch_size]), dtype=np.float64)
@@ -47,9 +45,10 @@ def embed(
                 if matrix.shape[1] != dim:
                     raise ValueError(f"encoder gave {matrix.shape[1]} values, not {dim}")
                 vectors.extend(matrix)
-            yield frame.assign(**{vector_col: vectors})
+            yield pd.Series(vectors, dtype=object)
 
-    return df.mapInPandas(encode, schema)
+    encoded = F.pandas_udf(encode, "array<double>")
+    return df.withColumn(vector_col, encoded(F.col(text_col)))
 
 
 def embed_once(df: DataFrame, text_col: str, encoder_factory, batch_size: int = 32) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions.rowkeys import row_keys
-from querent.session import new_run_dir
+from querent.session import new_run_dir, stored
 from querent.sources.files import exists
 
 OUTCOME_SCHEMA = "stmt_id string, db_id string, sql string, success boolean, error string"
@@ -100,6 +100,9 @@ def results_equal(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     Per statement, a row count and a digest decide most pairs: where they
     differ the sets differ. Only pairs that agree on both are compared row by
     row, each distinct pair of statements once. An absent row set is empty.
+
+    What the digests say is stored, one small row per pair: it is used twice,
+    and its known size lets the rows be joined without a shuffle by statement.
     """
     digests = rows.distinct().groupBy("stmt_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -116,7 +119,9 @@ def results_equal(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     sized = pairs.join(side("gold"), "gold_id", "left").join(side("gen"), "gen_id", "left")
     same_size = F.coalesce("gold_n", F.lit(0)) == F.coalesce("gen_n", F.lit(0))
     same_digest = F.coalesce("gold_digest", F.lit(0)) == F.coalesce("gen_digest", F.lit(0))
-    sized = sized.withColumn("alike", same_size & same_digest)
+    sized = stored(
+        sized.select(*pairs.columns, (same_size & same_digest).alias("alike")), "digests"
+    )
     open_pairs = (
         sized.filter(F.col("alike") & (F.col("gold_id") != F.col("gen_id")))
         .select("gold_id", "gen_id")

@@ -16,6 +16,7 @@ from querent.operators.context import (
 from querent.operators.dense import embed_once, vector_topk
 from querent.operators.generation import Generator, generate
 from querent.operators.topk import attach_items
+from querent.session import stored
 
 
 def as_questions(examples: DataFrame) -> DataFrame:
@@ -52,7 +53,11 @@ def generate_sql(
     generator: Generator,
     configs: tuple[PromptConfig, ...] = PROMPT_CONFIGS,
 ) -> DataFrame:
-    """``(query_id, db_id, question, method, prompt, response, generated_sql)``."""
-    prompts = prompt_configs(questions, schema_text, hits, configs)
-    answered = generate(prompts, generator, keys=("query_id", "method"))
+    """``(query_id, db_id, question, method, prompt, response, generated_sql)``.
+
+    Prompts are stored before and responses after the generator, so that neither
+    retrieval nor generation runs twice.
+    """
+    prompts = stored(prompt_configs(questions, schema_text, hits, configs), "prompts")
+    answered = stored(generate(prompts, generator, keys=("query_id", "method")), "responses")
     return answered.withColumn("generated_sql", extract_sql(F.col("response")))

@@ -33,11 +33,22 @@ def run_methods(
 
 def run_method(
     generated: DataFrame, method: str, database: Callable[[str], SparkSession], path: str
-) -> float:
-    """Evaluate and store one method, replacing only its rows; seconds taken."""
+) -> DataFrame:
+    """Evaluate and store one method, replacing only its rows.
+
+    Returns one row: ``method, num_examples, correct, accuracy, time_seconds``,
+    the last as the driver's clock saw it.
+    """
     start = monotonic()
-    run_methods(generated.filter(F.col("method") == method), database, path)
-    return monotonic() - start
+    rows = run_methods(generated.filter(F.col("method") == method), database, path)
+    counted = method_accuracy(rows.filter(F.col("method") == method))
+    return counted.select(
+        "method",
+        F.col("total").alias("num_examples"),
+        "correct",
+        "accuracy",
+        F.lit(monotonic() - start).alias("time_seconds"),
+    )
 
 
 def experiment_summary(results: DataFrame, k: int, methods: Sequence[str]) -> DataFrame:

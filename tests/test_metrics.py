@@ -142,6 +142,8 @@ def test_run_methods_together_and_alone(spark, tmp_path):
     rows = experiments.run_methods(generated, lambda db: spark, path)
     assert {r.method: r.execution_match for r in rows.collect()} == {"a": True, "b": False}
     better = generated.withColumn("generated_sql", F.lit("SELECT 1.0"))
-    assert experiments.run_method(better, "b", lambda db: spark, path) > 0
+    one = experiments.run_method(better, "b", lambda db: spark, path).first()
+    assert (one.method, one.num_examples, one.correct, one.accuracy) == ("b", 1, 1, 1.0)
+    assert one.time_seconds > 0
     rows = stored.read_method_results(spark, path)
     assert {r.method: r.execution_match for r in rows.collect()} == {"a": True, "b": True}

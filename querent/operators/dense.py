@@ -47,7 +47,9 @@ def embed(
                 vectors.extend(matrix)
             yield pd.Series(vectors, dtype=object)
 
-    encoded = F.pandas_udf(encode, "array<double>")
+    # As if it were random: otherwise a filter on the vectors, even one Spark adds
+    # itself, may be moved below and encode the texts a second time.
+    encoded = F.pandas_udf(encode, "array<double>").asNondeterministic()
     return df.withColumn(vector_col, encoded(F.col(text_col)))
 
 

@@ -73,7 +73,7 @@ def run_statements(
     path = path or new_run_dir(spark, "statements")
     keyed = statements.select(
         statement_id(F.col("db_id"), F.col("sql")).alias("stmt_id"), "db_id", "sql"
-    ).dropDuplicates(["stmt_id"])
+    ).distinct()
 
     def run(row):
         ok, error = _run_one(database, row.db_id, row.sql, f"{path}/rows/stmt_id={row.stmt_id}")

@@ -31,7 +31,8 @@ from querent.session import stored
 # larger is better, NaN where an item is no candidate.
 Scorer = Callable[[pa.Table], Callable[[pa.RecordBatch], np.ndarray]]
 
-BLOCK_PAIRS = 4_000_000
+# Pairs scored at a time; bounds the memory of a task to about 100 MB.
+BLOCK_PAIRS = 2_000_000
 
 
 @dataclass(frozen=True)

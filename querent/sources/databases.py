@@ -7,11 +7,15 @@ from pyspark.sql import SparkSession
 from querent.sources.files import exists, list_names
 
 
-def register_database(spark: SparkSession, db_id: str, root: str) -> SparkSession:
+def register_database(
+    spark: SparkSession, db_id: str, root: str, settings: dict[str, str] | None = None
+) -> SparkSession:
     """A session whose temp views are the tables of ``root/db_id``.
 
     Temp views belong to one session, so statements for one database never see
     the tables of another, and databases can be used at the same time.
+    ``settings`` are SQL settings of that session: with
+    ``spark.sql.ansi.enabled=false``, a division by zero is NULL, not a failure.
     """
     directory = f"{root.rstrip('/')}/{db_id}"
     if not exists(spark, directory):
@@ -20,12 +24,16 @@ def register_database(spark: SparkSession, db_id: str, root: str) -> SparkSessio
         name.removesuffix(".parquet"): f"{directory}/{name}"
         for name in list_names(spark, directory)
     }
-    return register_tables(spark, paths)
+    return register_tables(spark, paths, settings)
 
 
-def register_tables(spark: SparkSession, paths: dict[str, str]) -> SparkSession:
+def register_tables(
+    spark: SparkSession, paths: dict[str, str], settings: dict[str, str] | None = None
+) -> SparkSession:
     """A new session with one temp view per named Parquet path."""
     session = spark.newSession()
+    for key, value in (settings or {}).items():
+        session.conf.set(key, value)
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
         session.conf.set(key, spark.conf.get(key))
     for name, path in paths.items():

@@ -145,6 +145,15 @@ def test_database_names_that_look_like_numbers(spark, tmp_path):
     assert [r.item_id for r in hits] == [0]
 
 
+def test_texts_are_encoded_once(spark):
+    df = spark.range(5).selectExpr("id", "concat('word', id) AS text").repartition(3)
+    encoded = dense.embed(df, "text", hashing_encoder(8))
+    used = encoded.select("id", F.posexplode("v").alias("place", "n")).filter("n > 0")
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert used.count() == 5
+
+
 def test_vectors_of_different_length_are_an_error(spark):
     bad = lambda: lambda texts: np.zeros((len(texts), 2 + len(texts)))
     df = spark.range(3).selectExpr("'x' AS text").coalesce(1)

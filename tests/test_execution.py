@@ -116,3 +116,15 @@ def test_equal_digests_are_still_compared_row_by_row(spark):
     )
     equal = {r.pair_id: r.equal for r in execution.results_equal(pairs, rows).collect()}
     assert equal == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True}
+
+
+def test_settings_of_a_database(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "lax" / "n.parquet"))
+    lax = register_database(spark, "lax", str(tmp_path), {"spark.sql.ansi.enabled": "false"})
+    pairs = spark.createDataFrame(
+        [(1, "lax", "SELECT id / 0 FROM n", "SELECT NULL"), (2, "strict", "SELECT 1 / 0", "SELECT NULL")],
+        "pair_id long, db_id string, gold_sql string, generated_sql string",
+    )
+    sessions = {"lax": lax, "strict": spark}
+    rows = execution.evaluate(pairs, sessions.__getitem__).collect()
+    assert {r.pair_id: (r.gold_success, r.execution_match) for r in rows} == {1: (True, True), 2: (False, False)}

@@ -353,6 +353,7 @@ def databases(spark: SparkSession, sf_dir: str):
     def database(db_id: str) -> SparkSession:
         if db_id != "tpch":
             raise FileNotFoundError(f"no database {db_id}")
-        return register_tables(spark, {name: f"{sf_dir}/{name}.parquet" for name in TABLES})
+        paths = {name: f"{sf_dir}/{name}.parquet" for name in TABLES}
+        return register_tables(spark, paths, {"spark.sql.ansi.enabled": "true"})
 
     return database

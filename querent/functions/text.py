@@ -47,8 +47,7 @@ def first_statement(text: Column, strict: bool = False) -> Column:
     By default a keyword counts even inside a word; ``strict`` asks for a word
     boundary before it.
     """
-    found = strip(F.regexp_extract(text, _statement_pattern(strict), 1))
-    return F.when(found != "", found)
+    return F.nullif(strip(F.regexp_extract(text, _statement_pattern(strict), 1)), F.lit(""))
 
 
 def lines_before_explanation(text: Column) -> Column:
@@ -60,7 +59,7 @@ def lines_before_explanation(text: Column) -> Column:
     stop = F.array_position(explains, True)
     kept = F.when(stop > 0, F.slice(lines, 1, (stop - 1).cast("int"))).otherwise(lines)
     joined = F.array_join(F.array_remove(kept, ""), "\n")
-    return F.when(joined != "", joined).otherwise(strip(text))
+    return F.coalesce(F.nullif(joined, F.lit("")), strip(text))
 
 
 def extract_sql(text: Column, strict: bool = False) -> Column:

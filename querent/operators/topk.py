@@ -199,9 +199,8 @@ def topk_hits(
 
     ``items``: ``item_id, corpus_idx, db_id`` and what the scorer reads.
     ``queries``: ``query_id, db_id`` and what the scorer reads; ``size`` decides
-    how they travel. Scores equal to
-    ``decimals`` places are ties and keep corpus order, so results do not
-    depend on the order of floating-point sums.
+    how they travel. Scores equal to ``decimals`` places are ties and keep corpus
+    order, so results do not depend on the order of floating-point sums.
     """
     if k < 1:
         raise ValueError("k must be positive")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from workload.queries import QUERIES
 
 SF_DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test data")
@@ -25,10 +26,11 @@ def ordered(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() <= queries().keys()
+    assert QUERIES.keys() <= oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_its_sql(spark, duck, name):
     made = queries()[name](spark, str(SF_DIR))
     plan = made._jdf.queryExecution().executedPlan().toString()

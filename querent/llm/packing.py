@@ -27,6 +27,8 @@ WINDOW = 2048
 END_ID = 1
 CACHE_WORDS = 200_000
 PART_ROWS = 1_000_000
+#: Parts each length is ranked in at least: many pieces of one length do not meet in one task.
+LEAST_PARTS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Characters both tokenizer libraries class alike in any version; other texts take the slow way.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞€Α-ΡΣ-ϿА-я]*")
@@ -191,7 +193,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
     total = pieces.count()
-    parts = max(1, -(-total // PART_ROWS))
+    parts = max(LEAST_PARTS, -(-total // PART_ROWS))
     order = F.xxhash64(*[F.col(c) for c in pieces.columns])
     dealt = pieces.withColumn("__order", order).withColumn("__part", F.pmod(F.hash("__order"), F.lit(parts)).cast("int"))
     counted = dealt.groupBy("length", "__part").agg(F.count("*").alias("n")).collect()

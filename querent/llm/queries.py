@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import common, mixing, packing, sharding, topk_search
+from querent.llm import common, langid, language_model, mixing, near_dup, packing, quality_rules, sharding, topk_search, toxicity
 from querent.sources.files import scan_parquet
 
 
@@ -24,6 +24,37 @@ def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(common.documents(spark, sf_dir))
+
+
+def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    labels = scan_parquet(spark, f"{sf_dir}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, toxicity.learned_labels(labels))
+    held_out = (common.fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    scored = toxicity.score_toxicity(docs.select("doc_id", held_out, "text"), model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", "held_out", "score", predicted)
+
+
+def op4_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = langid.fit_language_id(langid.learned_rows(docs))
+    held_out = (common.fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    found = langid.identify(docs.select("doc_id", held_out, "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_outliers(common.documents(spark, sf_dir))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
+
+
+def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(common.documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir))
 
@@ -40,6 +71,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ring_shards": op1_ring_shards,
+    "op2_maxent_scores": op2_maxent_scores,
+    "op3_weak_toxicity": op3_weak_toxicity,
+    "op4_centroid_language": op4_centroid_language,
+    "op5_robust_quality": op5_robust_quality,
+    "op6_probminhash": op6_probminhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mix": op9_source_mix,
     "op10_exact_topk": op10_exact_topk,

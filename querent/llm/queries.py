@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import common, langid, language_model, mixing, near_dup, packing, quality_rules, sharding, topk_search, toxicity
+from querent.llm import common, langid, language_model, mixing, near_dup, packing, quality_classifier, quality_rules, sharding, topk_search, toxicity
 from querent.sources.files import scan_parquet
 
 
@@ -55,6 +55,15 @@ def op6_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(common.documents(spark, sf_dir))
 
 
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    labels = scan_parquet(spark, f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit_quality(docs, quality_classifier.learned_quality(labels))
+    held_out = (common.fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    scored = quality_classifier.score_quality(docs, model)
+    return scored.select("doc_id", held_out, "text_score", "metadata_score", "score", "keep")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir))
 
@@ -76,6 +85,7 @@ QUERIES = {
     "op4_centroid_language": op4_centroid_language,
     "op5_robust_quality": op5_robust_quality,
     "op6_probminhash": op6_probminhash,
+    "op7_cotrained_quality": op7_cotrained_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mix": op9_source_mix,
     "op10_exact_topk": op10_exact_topk,

@@ -112,7 +112,8 @@ def fit_centroids(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS
     for i in range(len(langs)):
         for size in range(16):
             like = cosine[(own == i) & (sizes >= size - 1) & (sizes <= size + 1)]
-            model.floor[i, size] = like.min() if len(like) >= 20 else 0
+            # longer texts than any seen are asked what the longest seen ones reach
+            model.floor[i, size] = like.min() if len(like) >= 20 else model.floor[i, size - 1] if size else 0
         # short texts hold few n-grams: never ask more of them than of longer ones
         model.floor[i] = np.minimum.accumulate(model.floor[i][::-1])[::-1]
     return model

@@ -8,8 +8,11 @@ probability of their probability Jaccard similarity
 
     J = sum over common d of 1 / sum over d' of max(a[d'] / a[d], b[d'] / b[d]).
 
-Registers are banded, texts that share a band are compared exactly, and classes
-are the connected components of the pairs that reach the threshold.
+Registers are banded. Texts that share a band are candidates: each is compared
+exactly with the least text of its buckets; candidates whose classes still differ
+then meet in bounded blocks, by more registers first and exactly if those leave
+room for the threshold. Classes are the connected components of the pairs that
+reach it.
 """
 
 from __future__ import annotations
@@ -29,6 +32,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Pairs at similarity 0.8 share no band with a probability of 5e-6.
 BANDS, ROWS = 40, 6
+#: Registers of the second sketch, of which four bits each are kept.
+SHARP = 1024
+#: Fewer agreeing registers than this a pair at 0.8 shows with a probability of 3e-7.
+SHARP_DEVIATIONS = 5.0
+BLOCK_TEXTS = 128
+BLOCK_SKETCHES = 256
 CHUNK = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PRIME = 0x9E3779B97F4A7C15
@@ -188,27 +197,129 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return texts.mapInArrow(_sketched(bands, rows), "doc_id long, digest binary, bands array<long>")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one key (the first column) at a time, from a partition sorted by it."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start < end:
+                if held and keys[start] != key:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                key = keys[start]
+                held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _compared(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
-        for batch in batches:
-            near = []
-            for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_py()
-                if a != last:
-                    last, known = a, weighted_shingles(batch.column(2)[i].as_py())
-                near.append(similarity(known, weighted_shingles(batch.column(3)[i].as_py())) >= threshold - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+        for run in _runs(batches):
+            texts, sets, near = {}, {}, ([], [])
+            for a, b, text in zip(*(run.column(i).to_pylist() for i in (2, 3, 4))):
+                if b is None:
+                    texts[a] = text
+                    continue
+                for end in (a, b):
+                    if end not in sets:
+                        sets[end] = weighted_shingles(texts[end])
+                if similarity(sets[a], sets[b]) >= threshold - 1e-9:
+                    near[0].append(a)
+                    near[1].append(b)
+            if near[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()) for n in near], names=["a", "b"])
 
     return compare
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose texts reach the threshold; ``texts`` is (doc_id, text), one row an id."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared(threshold), "a long, b long")
+def similar_pairs(pairs: DataFrame, texts: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose texts reach the threshold.
+
+    ``texts`` is (doc_id, text) and ``blocks`` (node, block), one row an id. The
+    pairs between two blocks are compared in one place, where each text of theirs
+    comes once; blocks hold about ``BLOCK_TEXTS`` texts.
+    """
+    placed = pairs.join(blocks.select(F.col("node").alias("a"), F.col("block").alias("block_a")), "a")
+    placed = placed.join(blocks.select(F.col("node").alias("b"), F.col("block").alias("block_b")), "b")
+    meeting = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
+    placed = placed.select(meeting.alias("meeting"), "a", "b")
+    needed = placed.select("meeting", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+    empty = F.lit(None)
+    rows = needed.select("meeting", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), empty.cast("long").alias("b"), "text")
+    rows = rows.unionByName(placed.select("meeting", F.lit(1).alias("kind"), "a", "b", empty.cast("string").alias("text")))
+    return rows.repartition("meeting").sortWithinPartitions("meeting", "kind").mapInArrow(_compared(threshold), "a long, b long")
+
+
+def _sharp_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            sets = [weighted_shingles(t.as_py()) for t in part.column(1)]
+            owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
+            keys = mixed(np.concatenate([k for k, _ in sets]) + np.uint64(_PRIME))
+            held = registers(owner, keys, np.concatenate([w for _, w in sets]).astype(float), len(sets), SHARP)
+            bits = (held & np.uint64(15)).astype(np.uint8)
+            packed = bits[:, ::2] | bits[:, 1::2] << 4
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row.tobytes() for row in packed], pa.binary())], names=["member", "sharp"])
+
+
+def _sifted(threshold: float):
+    """Pairs of different classes that meet in their first common band and agree in enough registers."""
+    expected = threshold + (1 - threshold) / 16
+    enough = SHARP * expected - SHARP_DEVIATIONS * np.sqrt(SHARP * expected * (1 - expected))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            if run.num_rows < 2:
+                continue
+            _, bucket, band, same, block, member, root = (run.column(i).to_numpy() for i in range(7))
+            bands = np.array(run.column(7).to_pylist(), dtype=np.int64)
+            sharp = np.frombuffer(b"".join(run.column(8).to_pylist()), np.uint8).reshape(run.num_rows, -1)
+            for start in range(0, run.num_rows, 64):
+                rows = slice(start, start + 64)
+                equal = bands[rows, None, :] == bands[None, :, :]
+                meet = equal.argmax(axis=2) == band[rows, None]
+                meet &= (bucket[rows, None] == bucket[None]) & (root[rows, None] != root[None])
+                meet &= (member[rows, None] < member[None]) & ((block[rows, None] == block[None]) == same[rows, None])
+                x, y = np.nonzero(meet)
+                x += start
+                for at in range(0, len(x), 4096):
+                    i, j = x[at : at + 4096], y[at : at + 4096]
+                    differ = sharp[i] ^ sharp[j]
+                    agree = (differ & 15 == 0).sum(axis=1) + (differ >> 4 == 0).sum(axis=1)
+                    keep = agree >= enough
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(member[i[keep]]), pa.array(member[j[keep]])], names=["a", "b"])
+
+    return sift
+
+
+def _across(shared: DataFrame, roots: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs of one bucket whose classes differ, each once.
+
+    Buckets of several classes are cut into blocks by a hash of their members; two
+    blocks meet in one place, so no place holds more than two blocks, and only the
+    pairs that may reach the threshold become rows.
+    """
+    rooted = shared.join(roots.withColumnRenamed("node", "member"), "member").select("bucket", "band", "member", "root")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
+    several = several.select("bucket", F.ceil(F.col("n") / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    rows = stored(rooted.join(several, "bucket"), "near-several")
+    members = rows.select("member").distinct()
+    sharp = texts.withColumnRenamed("doc_id", "member").join(members, "member", "left_semi")
+    sharp = sharp.select("member", "text").mapInArrow(_sharp_sketched, "member long, sharp binary")
+    sharp = stored(sharp, "near-sharp").join(bands.withColumnRenamed("text_id", "member"), "member")
+    block = F.pmod(F.hash("member"), F.col("blocks"))
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.select(
+        F.xxhash64("bucket", low, high).alias("meeting"), "bucket", "band", (low == high).alias("same"), F.col("block").cast("long").alias("block"), "member", "root"
+    ).join(sharp.select("member", "bands", "sharp"), "member")
+    rows = rows.select("meeting", "bucket", "band", "same", "block", "member", "root", "bands", "sharp")
+    return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_sifted(threshold), "a long, b long")
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,43 +357,35 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     Repeated rows stay.
 
     Equal texts are folded first. Within a band's bucket every text is compared
-    with the least id; that makes no more pairs than texts. Texts whose classes
-    still differ although they share a bucket are then compared pair by pair, so
-    no similar pair that shares a bucket is missed.
+    with the least id; that makes no more pairs than texts. Texts that share a
+    bucket although their classes differ then meet in blocks, see ``_across``.
     """
     prints = stored(sketches(docs, bands, rows), "sketches")
     texts = prints.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     equal = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("text_id")), "equal-texts")
     first = texts.join(equal, (F.col("doc_id") == F.col("text_id")) & texts["digest"].eqNullSafe(equal["digest"])).select("text_id", "bands", texts["digest"])
     first = first.groupBy("text_id").agg(F.min_by("bands", "digest").alias("bands"))
-    members = first.select(F.explode("bands").alias("bucket"), F.col("text_id").alias("member"))
-    members = stored(members, "band-rows")
+    members = stored(first.select(F.posexplode("bands").alias("band", "bucket"), F.col("text_id").alias("member")), "band-rows")
     least = members.groupBy("bucket").agg(F.min("member").alias("least"), F.count("*").alias("n")).filter("n > 1")
     shared = stored(members.join(least.select("bucket", "least"), "bucket"), "band-shared")
-    candidates = shared.filter("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct()
-    candidates = stored(candidates, "near-candidates")
-
-    needed = shared.select(F.col("member").alias("text_id")).distinct()
-    needed = needed.withColumnRenamed("text_id", "doc_id")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    own = stored(own.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-
-    # the least candidate of each text first: most texts find their class there
-    nodes = stored(needed.withColumnRenamed("doc_id", "node"), "near-nodes")
-    favourite = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(similar_pairs(favourite, own, threshold), "near-links")
+    favourite = shared.groupBy("member").agg(F.min("least").alias("least"))
+    nodes = stored(favourite.select(F.col("member").alias("node"), "least"), "near-nodes")
+
+    # texts with the same least partner lie in the same blocks
+    sizes = nodes.groupBy("least").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    blocks = nodes.join(sizes, "least").select("node", F.xxhash64("least", F.pmod(F.hash("node"), F.col("blocks"))).alias("block"))
+    blocks = stored(blocks, "near-blocks")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    own = own.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = stored(own, "near-texts")
+
+    pairs = nodes.filter("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = stored(similar_pairs(pairs, own, blocks, threshold), "near-links")
     roots = _roots(nodes, links)
-    for pairs in (candidates, None):
-        if pairs is None:
-            pairs = _across(shared, roots)
-        left = pairs.join(roots.withColumnsRenamed({"node": "a", "root": "root_a"}), "a")
-        left = left.join(roots.withColumnsRenamed({"node": "b", "root": "root_b"}), "b").filter("root_a <> root_b")
-        tested = favourite if pairs is candidates else candidates
-        left = stored(left.select("a", "b").join(tested, ["a", "b"], "left_anti"), "near-left")
-        more = stored(similar_pairs(left, own, threshold), "near-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = _roots(nodes, links)
+    likely = stored(_across(shared, roots, first, own, threshold), "near-likely")
+    more = stored(similar_pairs(likely, own, blocks, threshold), "near-links")
+    if not more.isEmpty():
+        roots = _roots(nodes, links.unionByName(more))
 
     class_of = roots.withColumnsRenamed({"node": "text_id", "root": "class_id"})
     classed = prints.join(equal, "digest", "left").join(class_of, "text_id", "left")
@@ -290,16 +393,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     return classed.select("doc_id", F.coalesce("class_id", text_id).alias("class_id"), text_id.alias("text_id"))
 
 
-def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket whose classes differ, from the buckets that hold several classes."""
-    rooted = shared.join(roots.withColumnRenamed("node", "member"), "member").select("bucket", "member", "root")
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rooted = rooted.join(several.select("bucket"), "bucket", "left_semi")
-    other = rooted.withColumnsRenamed({"member": "other", "root": "other_root"})
-    pairs = rooted.join(other, "bucket").filter("root <> other_root and member < other")
-    return pairs.select(F.col("member").alias("a"), F.col("other").alias("b")).distinct()
-
-
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one of the least id, with all its columns.
 

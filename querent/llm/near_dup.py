@@ -266,60 +266,78 @@ def _sharp_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row.tobytes() for row in packed], pa.binary())], names=["member", "sharp"])
 
 
-def _sifted(threshold: float):
-    """Pairs of different classes that meet in their first common band and agree in enough registers."""
+def _sifted(threshold: float, nearest: bool):
+    """Pairs of different classes that meet in their first common band and agree in enough registers.
+
+    ``nearest``: of the pairs of one meeting only those that are the best of one of their texts.
+    """
     expected = threshold + (1 - threshold) / 16
     enough = SHARP * expected - SHARP_DEVIATIONS * np.sqrt(SHARP * expected * (1 - expected))
 
+    def meetings(run: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        bucket, band, same, block, member, root = (run.column(i).to_numpy() for i in range(1, 7))
+        bands = np.array(run.column(7).to_pylist(), dtype=np.int64)
+        sharp = np.frombuffer(b"".join(run.column(8).to_pylist()), np.uint8).reshape(run.num_rows, -1)
+        for start in range(0, run.num_rows, 64):
+            rows = slice(start, start + 64)
+            equal = bands[rows, None, :] == bands[None, :, :]
+            meet = equal.argmax(axis=2) == band[rows, None]
+            meet &= (bucket[rows, None] == bucket[None]) & (root[rows, None] != root[None])
+            meet &= (member[rows, None] < member[None]) & ((block[rows, None] == block[None]) == same[rows, None])
+            x, y = np.nonzero(meet)
+            x += start
+            for at in range(0, len(x), 4096):
+                i, j = x[at : at + 4096], y[at : at + 4096]
+                differ = sharp[i] ^ sharp[j]
+                agree = (differ & 15 == 0).sum(axis=1) + (differ >> 4 == 0).sum(axis=1)
+                keep = agree >= enough
+                yield member[i[keep]], member[j[keep]], agree[keep]
+
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches):
-            if run.num_rows < 2:
-                continue
-            _, bucket, band, same, block, member, root = (run.column(i).to_numpy() for i in range(7))
-            bands = np.array(run.column(7).to_pylist(), dtype=np.int64)
-            sharp = np.frombuffer(b"".join(run.column(8).to_pylist()), np.uint8).reshape(run.num_rows, -1)
-            for start in range(0, run.num_rows, 64):
-                rows = slice(start, start + 64)
-                equal = bands[rows, None, :] == bands[None, :, :]
-                meet = equal.argmax(axis=2) == band[rows, None]
-                meet &= (bucket[rows, None] == bucket[None]) & (root[rows, None] != root[None])
-                meet &= (member[rows, None] < member[None]) & ((block[rows, None] == block[None]) == same[rows, None])
-                x, y = np.nonzero(meet)
-                x += start
-                for at in range(0, len(x), 4096):
-                    i, j = x[at : at + 4096], y[at : at + 4096]
-                    differ = sharp[i] ^ sharp[j]
-                    agree = (differ & 15 == 0).sum(axis=1) + (differ >> 4 == 0).sum(axis=1)
-                    keep = agree >= enough
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(member[i[keep]]), pa.array(member[j[keep]])], names=["a", "b"])
+            found = list(meetings(run)) if run.num_rows > 1 else []
+            a, b, agree = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            if nearest and len(a):
+                order = np.argsort(-agree, kind="stable")
+                a, b = a[order], b[order]
+                chosen = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
+                a, b = a[chosen], b[chosen]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return sift
 
 
-def _across(shared: DataFrame, roots: DataFrame, bands: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _several(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes, with the number of blocks of the bucket."""
+    rooted = shared.join(roots.withColumnRenamed("node", "member"), "member").select("bucket", "band", "member", "root")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
+    several = several.select("bucket", F.ceil(F.col("n") / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    return stored(rooted.join(several, "bucket"), "near-several")
+
+
+def _sharp(members: DataFrame, texts: DataFrame, bands: DataFrame) -> DataFrame:
+    """``(member, bands, sharp)``: the second sketch of the texts that still have to be compared."""
+    texts = texts.withColumnRenamed("doc_id", "member").join(members.select("member").distinct(), "member", "left_semi")
+    made = texts.select("member", "text").mapInArrow(_sharp_sketched, "member long, sharp binary")
+    return stored(made.join(bands.withColumnRenamed("text_id", "member"), "member"), "near-sharp")
+
+
+def _across(rows: DataFrame, sharp: DataFrame, threshold: float, nearest: bool) -> DataFrame:
     """Likely pairs of one bucket whose classes differ, each once.
 
     Buckets of several classes are cut into blocks by a hash of their members; two
     blocks meet in one place, so no place holds more than two blocks, and only the
     pairs that may reach the threshold become rows.
     """
-    rooted = shared.join(roots.withColumnRenamed("node", "member"), "member").select("bucket", "band", "member", "root")
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
-    several = several.select("bucket", F.ceil(F.col("n") / BLOCK_SKETCHES).cast("int").alias("blocks"))
-    rows = stored(rooted.join(several, "bucket"), "near-several")
-    members = rows.select("member").distinct()
-    sharp = texts.withColumnRenamed("doc_id", "member").join(members, "member", "left_semi")
-    sharp = sharp.select("member", "text").mapInArrow(_sharp_sketched, "member long, sharp binary")
-    sharp = stored(sharp, "near-sharp").join(bands.withColumnRenamed("text_id", "member"), "member")
     block = F.pmod(F.hash("member"), F.col("blocks"))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rows = rows.select(
         F.xxhash64("bucket", low, high).alias("meeting"), "bucket", "band", (low == high).alias("same"), F.col("block").cast("long").alias("block"), "member", "root"
-    ).join(sharp.select("member", "bands", "sharp"), "member")
+    ).join(sharp, "member")
     rows = rows.select("meeting", "bucket", "band", "same", "block", "member", "root", "bands", "sharp")
-    return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_sifted(threshold), "a long, b long")
+    return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_sifted(threshold, nearest), "a long, b long")
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -348,7 +366,7 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
         current = stored(current.join(jumped.select("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "classes")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """``(doc_id, class_id, text_id)``, one row for every row of ``docs`` (doc_id, text).
 
     ``text_id`` is the least id with an equal text, ``class_id`` the least id of
@@ -358,9 +376,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
 
     Equal texts are folded first. Within a band's bucket every text is compared
     with the least id; that makes no more pairs than texts. Texts that share a
-    bucket although their classes differ then meet in blocks, see ``_across``.
+    bucket although their classes differ then meet in blocks, see ``_across``:
+    once for the nearest partner of each, then for all that is left.
     """
-    prints = stored(sketches(docs, bands, rows), "sketches")
+    prints = stored(sketches(docs, bands, band_rows), "sketches")
     texts = prints.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     equal = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("text_id")), "equal-texts")
     first = texts.join(equal, (F.col("doc_id") == F.col("text_id")) & texts["digest"].eqNullSafe(equal["digest"])).select("text_id", "bands", texts["digest"])
@@ -382,10 +401,16 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     pairs = nodes.filter("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     links = stored(similar_pairs(pairs, own, blocks, threshold), "near-links")
     roots = _roots(nodes, links)
-    likely = stored(_across(shared, roots, first, own, threshold), "near-likely")
-    more = stored(similar_pairs(likely, own, blocks, threshold), "near-links")
-    if not more.isEmpty():
-        roots = _roots(nodes, links.unionByName(more))
+    # the nearest partners first: they join most classes, and few pairs are left between them
+    sharp = None
+    for nearest in (True, False):
+        rows = _several(shared, roots)
+        sharp = _sharp(rows, own, first) if sharp is None else sharp
+        likely = stored(_across(rows, sharp, threshold, nearest).distinct(), "near-likely")
+        more = stored(similar_pairs(likely, own, blocks, threshold), "near-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = _roots(nodes, links)
 
     class_of = roots.withColumnsRenamed({"node": "text_id", "root": "class_id"})
     classed = prints.join(equal, "digest", "left").join(class_of, "text_id", "left")

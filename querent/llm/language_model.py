@@ -18,30 +18,36 @@ blocks are scored in numpy.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.session import stored
 
-HEAD = 39
-ENDINGS = 24
+HEAD = 27
+ENDINGS = 20
 CLASSES = HEAD + 1 + ENDINGS
 SLOTS = 1 << 13
-FEATURES = 6
+FEATURES = 4
 ROUNDS = 2
 STEP_TOKENS = 8192
 RATE = 0.25
 BLOCK_BYTES = 8 << 20
+#: Tokens whose features are held at a time; texts are not split.
+CHUNK_TOKENS = 1 << 16
+#: A count and the place of its word in a block share one long; blocks hold under 2**21 words.
+PLACE_BITS = 42
 END = b""
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = (
-    "block binary, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, "
+    "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, "
     "words array<binary>, trained array<int>"
 )
 
@@ -61,7 +67,7 @@ def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Place 0 is the end of a text, which follows each.
     """
     schema = pa.schema(
-        [("block", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
+        [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
          ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("trained", pa.list_(pa.int32()))]
     )
 
@@ -72,8 +78,11 @@ def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = np.bincount(all_tokens[training], minlength=len(place)).astype(np.int32)
         raw = all_tokens.astype("<i4").tobytes()
         # the name of a block depends on its rows alone
-        name = zlib.crc32(raw).to_bytes(4, "big") + zlib.crc32(np.array([d or 0 for d in ids]).tobytes() + b"".join(list(place)[:4096])).to_bytes(4, "big") + len(raw).to_bytes(8, "big")
-        row = [name, ids, held, lengths, raw, list(place), trained.tolist()]
+        name = hashlib.blake2b(raw + repr(ids).encode(), digest_size=8)
+        for word in place:
+            name.update(word + b" ")
+        block = int.from_bytes(name.digest(), "little", signed=True)
+        row = [block, ids, held, lengths, zstandard.compress(raw, 1), list(place), trained.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     place: dict[bytes, int] = {END: 0}
@@ -126,9 +135,8 @@ def _spread(x: np.ndarray) -> np.ndarray:
 def history_slots(word_hash: np.ndarray, ending_hash: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashed features of the history of every token, tokens x ``FEATURES``.
 
-    The last word, the last two, the one before the last (skipping one), the one
-    two before (skipping two), the last ending, and the last two endings. Before a
-    text stands its end.
+    The last word, the last two, the one before the last (skipping one), and the
+    ending of the last. Before a text stands its end.
     """
     w, e = word_hash[tokens], ending_hash[tokens]
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -139,14 +147,24 @@ def history_slots(word_hash: np.ndarray, ending_hash: np.ndarray, tokens: np.nda
         moved[at < k] = 0
         return moved
 
-    w1, w2, w3, e1, e2 = back(w, 1), back(w, 2), back(w, 3), back(e, 1), back(e, 2)
-    kinds = (w1 + np.uint64(1), w1 * _GOLD + w2 + np.uint64(2), w2 + np.uint64(3), w3 + np.uint64(4), e1 + np.uint64(5), e1 * _GOLD + e2 + np.uint64(6))
+    w1, w2, e1 = back(w, 1), back(w, 2), back(e, 1)
+    kinds = (w1 + np.uint64(1), w1 * _GOLD + w2 + np.uint64(2), w2 + np.uint64(3), e1 + np.uint64(5))
     out = np.empty((len(tokens), FEATURES), np.uint16)
     for k, kind in enumerate(kinds):
         out[:, k] = (_spread(kind * _GOLD + np.uint64(k)) >> np.uint64(20)) % np.uint64(SLOTS)
     return out
 
 
+def chunks(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Texts of a block in groups of about ``CHUNK_TOKENS``: their places among tokens and among texts."""
+    ends = np.cumsum(lengths)
+    first, start = 0, 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, start + CHUNK_TOKENS, side="right")))
+        yield slice(start, int(ends[last - 1])), slice(first, last)
+        first, start = last, int(ends[last - 1])
+
+
 def block_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     one = np.array([zlib.crc32(w) for w in words], np.uint64) + np.uint64(1)
     two = np.array([zlib.crc32(w[-2:]) for w in words], np.uint64) + np.uint64(7)
@@ -186,16 +204,19 @@ def _trainer(shared, turn: int, rounds: int):
         power, seen, total = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float64), 0
         for batch in batches:
             for i in range(batch.num_rows):
-                if zlib.crc32(batch.column(0)[i].as_py()) % rounds != turn:
+                if batch.column(0)[i].as_py() % rounds != turn:
                     continue
                 lengths = batch.column(2)[i].values.to_numpy()
-                tokens = np.frombuffer(batch.column(3)[i].as_py(), "<i4")
-                use = np.repeat(~np.array(batch.column(1)[i].as_py(), bool), lengths)
+                tokens = np.frombuffer(zstandard.decompress(batch.column(3)[i].as_py()), "<i4")
                 words = batch.column(4)[i].as_py()
-                slots = history_slots(*block_hashes(words), tokens, lengths)[use]
-                local_updates(model, weights, bias, slots, model.classes(words)[tokens[use]], power)
-                seen += np.bincount(slots.ravel(), minlength=SLOTS)
-                total += len(slots)
+                hashes, classes = block_hashes(words), model.classes(words)
+                learn = ~np.array(batch.column(1)[i].as_py(), bool)
+                for part, of in chunks(tokens, lengths):
+                    use = np.repeat(learn[of], lengths[of])
+                    slots = history_slots(*hashes, tokens[part], lengths[of])[use]
+                    local_updates(model, weights, bias, slots, classes[tokens[part][use]], power)
+                    seen += np.bincount(slots.ravel(), minlength=SLOTS)
+                    total += len(slots)
         if total:
             moved = weights - model.weights
             slots = np.flatnonzero(seen)
@@ -300,24 +321,25 @@ def _scorer(shared, train_tokens: int, known_words: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths = batch.column(2)[i].values.to_numpy()
-                tokens = np.frombuffer(batch.column(3)[i].as_py(), "<i4")
+                tokens = np.frombuffer(zstandard.decompress(batch.column(3)[i].as_py()), "<i4")
                 words = batch.column(4)[i].as_py()
-                c = np.zeros(len(words))
-                c[batch.column(5)[i].values.to_numpy()] = batch.column(6)[i].values.to_numpy()
+                c, known = np.zeros(len(words)), batch.column(5)[i].values.to_numpy()
+                c[known >> PLACE_BITS] = known & ((1 << PLACE_BITS) - 1)
                 classes = model.classes(words)
                 base = np.log10((c + 1) / (train_tokens + known_words + 1))
                 own = within_class(model, classes, c)
-                slots = history_slots(*block_hashes(words), tokens, lengths)
-                by_class = np.empty(len(tokens))
-                for start in range(0, len(tokens), STEP_TOKENS):
-                    part = slice(start, start + STEP_TOKENS)
-                    chosen = log_softmax(model.weights, model.bias, slots[part])
-                    by_class[part] = chosen[np.arange(len(chosen)), classes[tokens[part]]] / math.log(10)
+                hashes, by_class = block_hashes(words), np.empty(len(tokens))
+                for part, of in chunks(tokens, lengths):
+                    slots, goal, found = history_slots(*hashes, tokens[part], lengths[of]), classes[tokens[part]], by_class[part]
+                    for start in range(0, len(goal), STEP_TOKENS):
+                        step = slice(start, start + STEP_TOKENS)
+                        chosen = log_softmax(model.weights, model.bias, slots[step])
+                        found[step] = chosen[np.arange(len(chosen)), goal[step]] / math.log(10)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 total = lambda values: np.add.reduceat(values, starts)
                 class_score = total(by_class)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(7)[i].values, batch.column(1)[i].values, pa.array(lengths, pa.int64()), pa.array(total((c > 0)[tokens].astype(np.int64)), pa.int64()),
+                    [batch.column(6)[i].values, batch.column(1)[i].values, pa.array(lengths, pa.int64()), pa.array(total((c > 0)[tokens].astype(np.int64)), pa.int64()),
                      pa.array(np.full(len(lengths), train_tokens), pa.int64()), pa.array(total(base[tokens])), pa.array(class_score + total(own[tokens])), pa.array(class_score)],
                     names=[f.split()[0] for f in SCORES.split(", ")],
                 )
@@ -338,13 +360,11 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     model, train_tokens, known_words = _start(counts)
     model = train_classes(blocks, model, rounds)
     used = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    known = used.join(counts, "word").select("block", "place", "c")
-    lists = known.groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("known"))
+    packed = F.shiftleft(F.col("place").cast("long"), PLACE_BITS).bitwiseOR(F.col("c"))
+    known = used.join(counts, "word").select("block", packed.alias("known"))
+    lists = known.groupBy("block").agg(F.collect_list("known").alias("known"))
     whole = blocks.select("block", "held", "lengths", "tokens", "words", "doc_ids").join(lists, "block", "left")
-    empty = lambda kind: F.array().cast(kind)
-    whole = whole.select(
-        "block", "held", "lengths", "tokens", "words",
-        F.coalesce("known.place", empty("array<int>")).alias("places"), F.coalesce("known.c", empty("array<long>")).alias("cs"), "doc_ids",
-    )
+    none = F.array().cast("array<long>")
+    whole = whole.select("block", "held", "lengths", "tokens", "words", F.coalesce("known", none).alias("known"), "doc_ids")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return whole.mapInArrow(_scorer(shared, train_tokens, known_words), SCORES)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,9 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querent.functions.text import tokenize
-from querent.operators.topk import Limits, QuerySize, keep_own_database, topk_hits
+from querent.operators.topk import Limits, QuerySize, keep_own_database, require_mode, topk_hits
 from querent.session import new_run_dir
 from querent.sources.files import require_sources
 
@@ -22,7 +26,7 @@ TIE_DECIMALS = 6
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``docs(item_id, corpus_idx, db_id, dl, tokens)``, ``terms(term, df, idf)``
+    """``docs(item_id, corpus_idx, db_id, dl, terms, tfs)``, ``terms(term, df, idf)``
     and one row of ``stats``. Statistics always cover the whole corpus."""
 
     docs: DataFrame
@@ -38,34 +42,68 @@ def token_counts(corpus: DataFrame) -> DataFrame:
 
 def postings(index: Bm25Index) -> DataFrame:
     """``(item_id, db_id, dl, term, tf)`` of an index."""
-    words = index.docs.select("item_id", "db_id", "dl", F.explode("tokens").alias("term"))
-    return words.groupBy("item_id", "db_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+    return index.docs.select("item_id", "db_id", "dl", pairs).select(
+        "item_id", "db_id", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").cast("bigint").alias("tf")
+    )
+
+
+def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the last column, tokens, by its distinct words, sorted, and their counts."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        row, flat = _rows_of(lists), lists.flatten()
+        words = pc.unique(flat)
+        words = words.take(pc.sort_indices(words))
+        code = pc.index_in(flat, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
+        seen, tf = np.unique(row * max(len(words), 1) + code, return_counts=True)
+        row, code = np.divmod(seen, max(len(words), 1))
+        offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+        kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+        terms = pa.ListArray.from_arrays(offsets, words.take(pa.array(code)))
+        tfs = pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*kept, terms, tfs], names=[*batch.schema.names[:-1], "terms", "tfs"])
 
 
 def write_bm25_index(
-    corpus: DataFrame, path: str, k1: float = K1, b: float = B, epsilon: float = EPSILON
+    corpus: DataFrame,
+    path: str,
+    k1: float = K1,
+    b: float = B,
+    epsilon: float = EPSILON,
+    partition_by: Sequence[str] = ("db_id",),
 ) -> None:
-    """Tokenise once, then derive the term and corpus statistics from the tokens."""
+    """Store the words of each item with their counts, by database, then the statistics.
+
+    A search within databases skips the folders of all others; give no columns
+    where databases are very many. Every index is written to a folder of its own
+    and named in ``current`` last, so readers never see half of one.
+    """
     spark = corpus.sparkSession
+    version = uuid.uuid4().hex
+    root = f"{path}/{version}"
     tokens = tokenize(F.coalesce("text", F.lit("")))
-    corpus.select(
-        "item_id", F.col("corpus_idx").cast("bigint").alias("corpus_idx"), "db_id",
-        tokens.alias("tokens"),
-    ).withColumn("dl", F.size("tokens").cast("bigint")).write.mode("overwrite").parquet(
-        f"{path}/docs"
-    )
-    docs = spark.read.parquet(f"{path}/docs")
+    read = corpus.select(
+        "item_id", F.col("corpus_idx").cast("bigint").alias("corpus_idx"),
+        F.col("db_id").cast("string").alias("db_id"), F.size(tokens).cast("bigint").alias("dl"), tokens.alias("tokens"),
+    )
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
+    counted = read.mapInArrow(_count_terms, f"{fields}, terms array<string>, tfs array<int>")
+    if partition_by:
+        counted = counted.hint("rebalance", *partition_by)
+    counted.write.partitionBy(*partition_by).parquet(f"{root}/docs")
+    docs = spark.read.schema(counted.schema).parquet(f"{root}/docs")
     totals = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("n_tokens")).first()
     n_docs, n_tokens = totals.n, totals.n_tokens or 0
 
     # A word counts once per document, so the explode sends distinct words only.
-    words = docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    words = docs.select(F.explode("terms").alias("term"))
     df = F.col("df")
     plain_idf = F.log(F.lit(float(n_docs)) - df + 0.5) - F.log(df + 0.5)
     words.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn(
         "plain_idf", plain_idf
-    ).write.mode("overwrite").parquet(f"{path}/terms")
-    spark.read.parquet(f"{path}/terms").agg(
+    ).write.parquet(f"{root}/terms")
+    spark.read.parquet(f"{root}/terms").agg(
         F.lit(n_docs).cast("bigint").alias("n_docs"),
         F.lit(n_tokens).cast("bigint").alias("n_tokens"),
         F.lit(n_tokens / n_docs if n_docs else 0.0).alias("avgdl"),
@@ -74,18 +112,26 @@ def write_bm25_index(
         F.lit(float(k1)).alias("k1"),
         F.lit(float(b)).alias("b"),
         F.lit(float(epsilon)).alias("epsilon"),
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        F.lit(counted.schema.json()).alias("docs_schema"),
+    ).coalesce(1).write.parquet(f"{root}/stats")
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode(
+        "append"
+    ).parquet(f"{path}/current")
 
 
 def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
-    require_sources(spark, [f"{path}/{table}" for table in ("docs", "terms", "stats")])
+    """The index that was published last."""
+    require_sources(spark, [f"{path}/current"])
+    current = spark.read.schema("version string, at timestamp").parquet(f"{path}/current")
+    path = f"{path}/{current.orderBy(F.desc('at')).first().version}"
     stats = spark.read.parquet(f"{path}/stats")
     one = stats.first()
     floor = F.lit(one.epsilon * one.avg_idf)
     terms = spark.read.parquet(f"{path}/terms").select(
         "term", "df", F.when(F.col("plain_idf") < 0, floor).otherwise(F.col("plain_idf")).alias("idf")
     )
-    return Bm25Index(spark.read.parquet(f"{path}/docs"), terms, stats)
+    schema = T.StructType.fromJson(json.loads(one.docs_schema))
+    return Bm25Index(spark.read.schema(schema).parquet(f"{path}/docs"), terms, stats)
 
 
 def build_bm25_index(corpus: DataFrame, path: str | None = None, **params: float) -> Bm25Index:
@@ -153,16 +199,14 @@ def _bm25_scorer(k1: float, b: float, avgdl: float, matched_only: bool):
         bounds = np.searchsorted(code[by_code], np.arange(len(vocabulary) + 1))
 
         def score(items: pa.RecordBatch) -> np.ndarray:
-            tokens = items["tokens"]
-            found = pc.index_in(tokens.flatten(), value_set=vocabulary)
-            known = found.is_valid().to_numpy(zero_copy_only=False)
+            words = items["terms"]
+            found = pc.index_in(words.flatten(), value_set=vocabulary)
+            known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            term, item = found.drop_null().to_numpy().astype(np.int64), _rows_of(words)[known]
             # Term first, so that each word's documents lie next to each other.
-            occurrence = (
-                found.drop_null().to_numpy().astype(np.int64) * items.num_rows
-                + _rows_of(tokens)[known]
-            )
-            occurrence, tf = np.unique(occurrence, return_counts=True)
-            term, item = np.divmod(occurrence, items.num_rows)
+            order = np.argsort(term, kind="stable")
+            term, item = term[order], item[order]
+            tf = items["tfs"].flatten().to_numpy()[known[order]]
             dl = items["dl"].to_numpy()[item]
             impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (avgdl or 1.0)))
 
@@ -199,6 +243,7 @@ def bm25_topk(
     among the ``overfetch * k`` best (``post``). ``fill`` returns k items even
     where fewer share a word with the query, the others with score zero.
     """
+    require_mode(mode)
     one, size = index.stats.first(), _size(queries)
     hits = topk_hits(
         index.docs,

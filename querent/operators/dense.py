@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions.vectors import normalize, similarity
-from querent.operators.topk import Limits, QuerySize, keep_own_database, topk_hits
+from querent.operators.topk import Limits, QuerySize, keep_own_database, require_mode, topk_hits
 from querent.session import stored
 from querent.sources.files import read_partitioned
 
@@ -67,31 +68,48 @@ def write_vector_index(
     no columns where databases are very many. Rows are brought together by
     folder to avoid many small files; adaptive execution splits a large folder.
     """
-    unit = items.withColumn("v", normalize(F.col(vector_col))).drop("text")
+    unit = items.withColumn("v", normalize(_usable(items, vector_col))).drop("text")
     if partition_by:
         unit = unit.hint("rebalance", *partition_by)
     unit.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def _usable(items: DataFrame, vector_col: str) -> Column:
+    """The vector, or an error naming the item: null, of another length, or not finite."""
+    v = F.col(vector_col)
+    first = items.filter(v.isNotNull()).select(F.size(v).alias("dim")).first()
+    dim = first.dim if first else 0
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    message = F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit(f" has no vector of {dim} finite numbers"))
+    return F.when(v.isNotNull() & (F.size(v) == dim) & finite, v).otherwise(F.raise_error(message))
+
+
 def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
     """The stored index; searching one that was never built is an error."""
     return read_partitioned(spark, path, "db_id")
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    """Rows of unit length; zero vectors stay zero."""
+def _matrix(lists: pa.Array, ids: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of unit length; zero vectors stay zero. An unusable vector is an error naming its id."""
+    lengths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    dim = dim if dim is not None else (int(lengths[0]) if len(lengths) else 0)
+    if (lengths != dim).any():
+        raise ValueError(f"{ids[int(np.argmax(lengths != dim))]} has no vector of {dim} numbers")
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+    matrix = flat.reshape(len(lists), dim)
+    odd = ~np.isfinite(matrix).all(axis=1)
+    if odd.any():
+        raise ValueError(f"{ids[int(np.argmax(odd))]} has a vector with a number that is null or not finite")
     norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(norm > 0, norm, 1.0)
 
 
 def _distance_scorer(queries: pa.Table):
-    asked = _matrix(queries["v"].combine_chunks())
+    asked = _matrix(queries["v"].combine_chunks(), queries["query_id"])
     asked_square = (asked * asked).sum(axis=1)[:, None]
 
     def score(items: pa.RecordBatch) -> np.ndarray:
-        held = _matrix(items["v"])
+        held = _matrix(items["v"], items["item_id"], asked.shape[1] if len(asked) else None)
         square = (held * held).sum(axis=1)[None, :]
         return -np.maximum(asked_square + square - 2.0 * (asked @ held.T), 0.0)
 
@@ -141,6 +159,7 @@ def vector_topk(
     ``overfetch * k`` nearest (``post``; may give fewer than k) or before
     taking k (``pre``).
     """
+    require_mode(mode)
     post = within and mode == "post"
     hits = _nearest(index, queries, k * overfetch if post else k, within and not post, limits)
     return add_similarity(keep_own_database(hits, k) if post else hits)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import islice
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +15,15 @@ from pyspark.sql import functions as F
 
 from querent.functions.rowkeys import row_keys
 from querent.session import new_run_dir, stored
-from querent.sources.files import exists
 
 OUTCOME_SCHEMA = "stmt_id string, db_id string, sql string, success boolean, error string"
-STATEMENTS_PER_BATCH = 256
+ROW_SCHEMA = "stmt_id string, row_key string"
+STATEMENTS_PER_BATCH = 16
+DEADLINE_SECONDS = 600.0
+#: Classes of exceptions that no statement causes.
+STORAGE_FAULTS = ("java.io.", "java.nio.file.", "org.apache.hadoop.", "java.lang.OutOfMemoryError")
+#: Leaves of a plan: views over files, rows of the statement itself, common table expressions.
+READABLE = ("LogicalRelation", "LocalRelation", "OneRowRelation", "OneRowRelation$", "Range", "CTERelationRef")
 
 
 @dataclass(frozen=True)
@@ -37,61 +44,156 @@ def _condition(error: Exception) -> str:
     return name or type(error).__name__
 
 
-def _run_one(
-    database: Callable[[str], SparkSession], db_id: str, sql: str | None, path: str
-) -> tuple[bool, str | None]:
-    """Run one statement and store its row keys; never raises.
+def _storage_failed(error: Exception) -> bool:
+    """Whether storage or memory failed, not the statement."""
+    cause = getattr(error, "_origin", None) or getattr(error, "java_exception", None)
+    while cause is not None:
+        if cause.getClass().getName().startswith(STORAGE_FAULTS):
+            return True
+        cause = cause.getCause()
+    return isinstance(error, OSError) and not isinstance(error, FileNotFoundError)
 
-    Only queries are run. A text that starts as a query cannot be anything else;
-    any other must first be valid as a subquery, which no command or write is.
+
+def _only_views(query: DataFrame) -> None:
+    """Raise unless the query reads nothing but temp views and rows it writes itself."""
+    plan = query._jdf.queryExecution().analyzed()
+    nested = plan.subqueriesAll()
+    for part in [plan, *(nested.apply(i) for i in range(nested.size()))]:
+        leaves = part.collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            kind = leaf.getClass().getSimpleName()
+            if kind not in READABLE or kind == "LogicalRelation" and leaf.catalogTable().isDefined():
+                raise RefusedStatement(kind)
+
+
+class RefusedStatement(Exception):
+    """A statement that reads what is not a view of its database."""
+
+
+def _keys_of(session: SparkSession, sql: str) -> DataFrame:
+    """The row keys of a statement, analysed.
+
+    Only queries are taken. A text that starts as a query cannot be anything
+    else; any other must first be valid as a subquery, which no command is.
     """
-    try:
-        if sql is None:
-            return False, "NULL_STATEMENT"
-        session, query = database(db_id), sql.strip().rstrip(";")
-        if not query.upper().startswith(("SELECT", "VALUES")):
-            session.sql(f"SELECT * FROM (\n{query}\n)")
-        row_keys(session.sql(query)).write.mode("overwrite").parquet(path)
-        return True, None
-    except Exception as error:
-        return False, _condition(error)
+    query = sql.strip().rstrip(";")
+    if not query.upper().startswith(("SELECT", "VALUES")):
+        session.sql(f"SELECT * FROM (\n{query}\n)")
+    result = session.sql(query)
+    _only_views(result)
+    return row_keys(result)
+
+
+class _Lane:
+    """Runs batches of statements one after the other; several lanes share the work."""
+
+    def __init__(self, spark, database, path: str, number: int, deadline: float):
+        self.spark, self.database, self.deadline = spark, database, deadline
+        self.rows, self.outcomes = f"{path}/rows/lane={number}", f"{path}/outcomes/lane={number}"
+
+    def run(self, batch: list) -> None:
+        """Analyse each statement of one database, then run all that are valid as one job."""
+        done, frames = [], []
+        for row in batch:
+            try:
+                if row.sql is None:
+                    raise RefusedStatement("NULL_STATEMENT")
+                keys = _keys_of(self.database(row.db_id), row.sql)
+                frames.append((row, keys.select(F.lit(row.stmt_id).alias("stmt_id"), "row_key")))
+            except Exception as error:
+                if _storage_failed(error):
+                    raise
+                told = str(error) if isinstance(error, RefusedStatement) else _condition(error)
+                done.append((row.stmt_id, row.db_id, row.sql, False, told))
+        done.extend(self._write(frames))
+        self.spark.createDataFrame(done, OUTCOME_SCHEMA).coalesce(1).write.mode("append").parquet(self.outcomes)
+
+    def _write(self, frames: list, again: bool = True) -> list:
+        """Outcomes of valid statements; a batch that fails is halved until the culprits stand alone."""
+        if not frames:
+            return []
+        tag, context = f"statements-{uuid.uuid4().hex}", self.spark.sparkContext
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.deadline, stop)
+        try:
+            context.addJobTag(tag)
+            timer.start()
+            keys = reduce(DataFrame.unionAll, [frame for _, frame in frames])
+            keys.distinct().write.mode("append").parquet(self.rows)
+            return [(row.stmt_id, row.db_id, row.sql, True, None) for row, _ in frames]
+        except Exception as error:
+            if _storage_failed(error) and not late.is_set():
+                if not again:
+                    raise
+                return self._write(frames, again=False)
+            if len(frames) > 1:
+                half = len(frames) // 2
+                return self._write(frames[:half]) + self._write(frames[half:])
+            row = frames[0][0]
+            told = "DEADLINE" if late.is_set() else _condition(error)
+            return [(row.stmt_id, row.db_id, row.sql, False, told)]
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
 
 
 def run_statements(
     statements: DataFrame,
     database: Callable[[str], SparkSession],
     path: str | None = None,
-    parallelism: int = 8,
+    parallelism: int = 4,
+    deadline: float = DEADLINE_SECONDS,
 ) -> StatementRuns:
     """Run every distinct ``(db_id, sql)`` once.
 
-    Statements are data, so each is a Spark job of its own; the driver streams
-    the texts, keeps some jobs in flight and holds no result rows. Those are
-    written to the shared folder by the executors, and the outcomes with them.
+    Statements are data: the driver streams their texts and analyses each. Those
+    of one database then run together, as one job that writes distinct row keys;
+    the driver holds no result rows, and the number of folders does not grow with
+    the statements. A job that fails or takes longer than ``deadline`` seconds is
+    halved, so a statement that does so alone has failed. Errors of analysis and
+    evaluation are outcomes; faults of storage are tried again, then raised.
+
+    Statements read the views of their database and nothing else.
     """
     spark = statements.sparkSession
     path = path or new_run_dir(spark, "statements")
     keyed = statements.select(
         statement_id(F.col("db_id"), F.col("sql")).alias("stmt_id"), "db_id", "sql"
     ).distinct()
+    for table, schema in (("rows", ROW_SCHEMA), ("outcomes", OUTCOME_SCHEMA)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{table}/lane=-1")
+
+    pending = keyed.orderBy("db_id", "stmt_id").toLocalIterator(prefetchPartitions=False)
+    lock = threading.Lock()
+    held: list = []
+
+    def next_batch() -> list:
+        """The next statements of one database."""
+        with lock:
+            batch = []
+            while len(batch) < STATEMENTS_PER_BATCH:
+                row = held.pop() if held else next(pending, None)
+                if row is None or batch and row.db_id != batch[0].db_id:
+                    held.extend([row] if row else [])
+                    break
+                batch.append(row)
+            return batch
+
+    def work(number: int) -> None:
+        lane = _Lane(spark, database, path, number, deadline)
+        while batch := next_batch():
+            lane.run(batch)
 
-    def run(row):
-        ok, error = _run_one(database, row.db_id, row.sql, f"{path}/rows/stmt_id={row.stmt_id}")
-        return row.stmt_id, row.db_id, row.sql, ok, error
-
-    spark.createDataFrame([], "row_key string, stmt_id string").write.mode("overwrite").parquet(
-        f"{path}/rows/stmt_id=none"
-    )
-    pending = keyed.toLocalIterator(prefetchPartitions=False)
     with ThreadPoolExecutor(parallelism) as pool:
-        while batch := list(islice(pending, STATEMENTS_PER_BATCH)):
-            done = spark.createDataFrame(list(pool.map(run, batch)), OUTCOME_SCHEMA)
-            done.coalesce(1).write.mode("append").parquet(f"{path}/outcomes")
-    outcomes = spark.createDataFrame([], OUTCOME_SCHEMA)
-    if exists(spark, f"{path}/outcomes"):
-        outcomes = spark.read.parquet(f"{path}/outcomes")
-    rows = spark.read.schema("row_key string, stmt_id string").parquet(f"{path}/rows")
-    return StatementRuns(outcomes, rows.select("stmt_id", "row_key"))
+        list(pool.map(work, range(parallelism)))
+    outcomes = spark.read.schema(OUTCOME_SCHEMA).parquet(f"{path}/outcomes")
+    rows = spark.read.schema(ROW_SCHEMA).parquet(f"{path}/rows")
+    return StatementRuns(outcomes.drop("lane"), rows.select("stmt_id", "row_key"))
 
 
 def results_equal(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -184,7 +286,7 @@ def evaluate(
     pairs: DataFrame,
     database: Callable[[str], SparkSession],
     path: str | None = None,
-    parallelism: int = 8,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Detail rows for ``pairs(method, idx, question, db_id, gold_sql, generated_sql)``.
 

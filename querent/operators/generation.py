@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -13,9 +14,14 @@ Generator = Callable[[DataFrame], DataFrame]
 def generate(prompts: DataFrame, generator: Generator, keys: Sequence[str] = ("query_id",)):
     """Prompts with a ``response`` column; NULL where the generator gave none.
 
-    The generator maps ``(keys, prompt)`` to ``(keys, response)``.
+    The generator maps ``(keys, prompt)`` to ``(keys, response)``; a key it gives
+    twice is an error. Counting by key deals the rows as the join needs them.
     """
-    responses = generator(prompts.select(*keys, "prompt")).select(*keys, "response")
+    given = generator(prompts.select(*keys, "prompt")).select(*keys, "response")
+    named = F.concat_ws("/", *[F.col(key).cast("string") for key in keys])
+    error = F.raise_error(F.concat(F.lit("more than one response for "), named)).cast("string")
+    counted = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("response").alias("r"))
+    responses = counted.select(*keys, F.when(F.col("n") == 1, F.col("r")).otherwise(error).alias("response"))
     return prompts.join(responses, list(keys), "left")
 
 

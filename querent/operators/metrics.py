@@ -13,6 +13,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querent.session import stored
+
 
 def accuracy_by(results: DataFrame, *keys: str) -> DataFrame:
     """``(keys, correct, total, accuracy)``; no examples give accuracy 0."""
@@ -46,10 +48,16 @@ def best_setting(accuracy: DataFrame, key: str, order: Sequence | None = None) -
     """The row of highest accuracy; of equals the first in ``order``, else by key."""
     position = F.col(key)
     if order is not None:
-        position = F.array_position(F.array(*[F.lit(value) for value in order]), F.col(key))
+        position = position_in(order, F.col(key))
     return accuracy.orderBy(F.desc("accuracy"), position).limit(1)
 
 
+def position_in(order: Sequence, key: Column) -> Column:
+    """The place of a key in ``order``; keys that are not listed come last."""
+    place = F.array_position(F.array(*[F.lit(value) for value in order]), key)
+    return F.when(place > 0, place).otherwise(F.lit(len(order) + 1))
+
+
 def methods_in(results: DataFrame, order: Sequence[str]) -> list[str]:
     """The methods of ``order`` that have results."""
     present = {row.method for row in results.select("method").distinct().collect()}
@@ -57,18 +65,34 @@ def methods_in(results: DataFrame, order: Sequence[str]) -> list[str]:
 
 
 def align_methods(
-    results: DataFrame, methods: Sequence[str], carry: Sequence[str] = ("question", "db_id")
+    results: DataFrame,
+    methods: Sequence[str],
+    carry: Sequence[str] = ("question", "db_id"),
+    gaps: str = "raise",
 ) -> DataFrame:
-    """One row per example that every method has, one boolean per method.
+    """One row per example, one boolean per method; a null outcome is not matched.
 
-    The carried texts are those of the first method.
+    The carried texts are those of the first method. An example that a method
+    lacks, or has twice, is an error that names it; ``gaps="drop"`` leaves out
+    those that a method lacks, and ``coverage_gaps`` lists them.
     """
-    matches = [
-        F.bool_or(F.when(F.col("method") == m, F.col("execution_match"))).alias(m) for m in methods
-    ]
+    if gaps not in ("raise", "drop"):
+        raise ValueError(f"gaps must be raise or drop, not {gaps}")
+    matched = F.coalesce("execution_match", F.lit(False))
+    matches = [F.bool_or(F.when(F.col("method") == m, matched)).alias(m) for m in methods]
+    matches += [F.count_if(F.col("method") == m).alias(f"n {m}") for m in methods]
     texts = F.max(F.when(F.col("method") == methods[0], F.struct(*carry))).alias("texts")
     wide = results.filter(F.col("method").isin(*methods)).groupBy("idx").agg(texts, *matches)
-    return wide.dropna(subset=list(methods)).select("idx", "texts.*", *methods)
+    if gaps == "drop":
+        wide = wide.dropna(subset=list(methods))
+
+    def checked(m: str) -> Column:
+        n = F.col(f"n {m}")
+        told = F.concat(F.lit("example "), F.col("idx").cast("string"), F.lit(" has "), n.cast("string"))
+        error = F.raise_error(F.concat(told, F.lit(f" rows of method {m}"))).cast("boolean")
+        return F.when(n == 1, F.col(m)).otherwise(error).alias(m)
+
+    return wide.select("idx", "texts.*", *[checked(m) for m in methods])
 
 
 def coverage_gaps(results: DataFrame, methods: Sequence[str]) -> DataFrame:
@@ -114,7 +138,11 @@ def all_succeeded(aligned: DataFrame, methods: Sequence[str]) -> DataFrame:
 
 
 def count_and_first(examples: DataFrame, n: int = 3) -> DataFrame:
-    """The first ``n`` rows by position, each with the number of all rows."""
+    """The first ``n`` rows by position, each with the number of all rows.
+
+    The rows are stored: they are counted and ordered without being made twice.
+    """
+    examples = stored(examples, "examples")
     total = examples.agg(F.count(F.lit(1)).alias("total"))
     return examples.orderBy("idx").limit(n).withColumn("total", total.scalar())
 

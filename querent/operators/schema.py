@@ -29,10 +29,15 @@ def missing_databases(catalog: DataFrame, db_ids: DataFrame) -> DataFrame:
 
 
 def require_databases(catalog: DataFrame, db_ids: DataFrame) -> None:
-    """Raise if an id is not in the catalog; the message names the first ones."""
-    unknown = [row.db_id for row in missing_databases(catalog, db_ids).orderBy("db_id").head(20)]
-    if unknown:
-        raise ValueError(f"databases not found in the catalog: {unknown}")
+    """Raise if an id is not in the catalog.
+
+    The message tells how many and names the first; ``missing_databases`` has all.
+    """
+    unknown = missing_databases(catalog, db_ids)
+    n = unknown.count()
+    if n:
+        first = [row.db_id for row in unknown.orderBy("db_id").limit(20).collect()]
+        raise ValueError(f"{n} databases not found in the catalog, among them {first}")
 
 
 def schema_of(catalog: DataFrame, db_ids: DataFrame) -> DataFrame:
@@ -45,16 +50,30 @@ def _table_idx(column: Column) -> Column:
     return F.get(column, F.lit(0)).cast("int")
 
 
+def _or_error(value: Column, what: str, *where: Column) -> Column:
+    """The value; where it is null, an error naming the database and the place."""
+    parts = [F.coalesce(part.cast("string"), F.lit("null")) for part in where]
+    message = F.concat(F.lit("database "), F.coalesce("db_id", F.lit("null")), F.lit(f": {what} "), *parts)
+    return F.coalesce(value, F.raise_error(message).cast("string"))
+
+
 def _table_of(column: Column) -> Column:
-    return F.get(_TABLES, _table_idx(column))
+    """The table's name; null for the column that belongs to no table (index -1)."""
+    at = _table_idx(column)
+    return F.when(at == -1, F.lit(None).cast("string")).otherwise(
+        _or_error(F.get(_TABLES, at), "no table of index", at)
+    )
 
 
 def _name_of(column: Column) -> Column:
-    return F.get(column, F.lit(1))
+    return _or_error(F.get(column, F.lit(1)), "a column without name")
 
 
 def _at(position: Column) -> Column:
-    return F.get(_COLUMNS, position)
+    """The column at a position of a key, which must exist and belong to a table."""
+    found = F.get(_COLUMNS, position)
+    checked = _or_error(F.get(found, F.lit(1)), "a key names no column of index", position)
+    return F.when(checked.isNotNull(), found)
 
 
 def flatten_columns(catalog: DataFrame) -> DataFrame:
@@ -116,7 +135,7 @@ def _section(heading: str, items: Column, line) -> Column:
 
 
 def _qualified(column: Column) -> Column:
-    return F.concat(_table_of(column), F.lit("."), _name_of(column))
+    return F.concat(_or_error(_table_of(column), "a key of no table"), F.lit("."), _name_of(column))
 
 
 def render_schema_text(catalog: DataFrame) -> DataFrame:
@@ -126,9 +145,10 @@ def render_schema_text(catalog: DataFrame) -> DataFrame:
     def table_block(table: Column, table_idx: Column) -> Column:
         own = F.filter(typed, lambda z: _table_idx(z["c"]) == table_idx)
         column_line = lambda z: F.concat(
-            F.lit(ITEM_INDENT), _name_of(z["c"]), F.lit(" ("), z["t"], F.lit(")\n")
+            F.lit(ITEM_INDENT), _name_of(z["c"]), F.lit(" ("), _or_error(z["t"], "no type of column ", _name_of(z["c"])), F.lit(")\n")
         )
-        return F.concat(F.lit("\n"), table, F.lit(":\n"), _lines(own, column_line))
+        name = _or_error(table, "a table without name")
+        return F.concat(F.lit("\n"), name, F.lit(":\n"), _lines(own, column_line))
 
     foreign_keys = _section(
         FOREIGN_KEYS_HEADING,

@@ -299,6 +299,11 @@ def attach_items(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     return stored(hits, "hits").join(corpus.drop("corpus_idx", "db_id"), "item_id")
 
 
+def require_mode(mode: str) -> None:
+    if mode not in ("pre", "post"):
+        raise ValueError(f"mode must be pre or post, not {mode}")
+
+
 def keep_own_database(hits: DataFrame, k: int) -> DataFrame:
     """Of ranked hits, those in the query's database, ranked again, first k."""
     anywhere = F.coalesce("db_id", F.lit("")) == ""

@@ -13,8 +13,8 @@ from querent.operators.metrics import (
     accuracy_by_k,
     align_methods,
     analysis_summary,
-    best_setting,
     method_accuracy,
+    position_in,
 )
 from querent.sources.results import read_method_results, write_method_results, write_summary
 
@@ -54,7 +54,7 @@ def run_method(
 def experiment_summary(results: DataFrame, k: int, methods: Sequence[str]) -> DataFrame:
     """One row: accuracy per method, and the best one (first of equals)."""
     accuracy = method_accuracy(results).filter(F.col("method").isin(*methods))
-    order = F.array_position(F.array(*[F.lit(m) for m in methods]), F.col("method"))
+    order = position_in(methods, F.col("method"))
     best = F.min_by(F.struct("method", "accuracy"), F.struct(-F.col("accuracy"), order))
     entries = F.array_sort(F.collect_list(F.struct(order.alias("o"), "method", "accuracy")))
     return accuracy.agg(
@@ -73,17 +73,19 @@ def experiment_summary(results: DataFrame, k: int, methods: Sequence[str]) -> Da
 
 def sweep_summary(results: DataFrame, ks: Sequence[int]) -> DataFrame:
     """One row: accuracy per k in the order tested, and the best k."""
-    accuracy = accuracy_by_k(results)
-    best = best_setting(accuracy, "k", ks).select("k", "accuracy")
     rows = F.array_sort(F.collect_list(F.struct("k", "accuracy")))
-    return accuracy.agg(
+    first = F.struct(-F.col("accuracy"), position_in(ks, F.col("k")))
+    return accuracy_by_k(results).agg(
         F.max("total").alias("num_examples"),
         F.array(*[F.lit(k).cast("bigint") for k in ks]).alias("k_values_tested"),
         rows.alias("results"),
+        F.min_by(F.struct("k", "accuracy"), first).alias("best"),
     ).select(
-        "*",
-        best.select("k").scalar().alias("best_k"),
-        best.select("accuracy").scalar().alias("best_accuracy"),
+        "num_examples",
+        "k_values_tested",
+        "results",
+        F.col("best.k").alias("best_k"),
+        F.col("best.accuracy").alias("best_accuracy"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,9 @@ def build_session(app: str = "querent", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master, where driver and executors are one process, may fall
-    back on a temporary folder; a cluster without the setting is an error.
+    Only ``local`` and ``local[...]``, where driver and executors are one process,
+    may fall back on a temporary folder; any other master without the setting,
+    ``local-cluster`` included, is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -40,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if context.getCheckpointDir():
         return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="querent-"))
     return context.getCheckpointDir().rstrip("/")
@@ -48,7 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_run_dir(spark: SparkSession, purpose: str) -> str:
     """A path of its own in the shared folder, for one run's tables."""
-    return f"{shared_dir(spark)}/querent/{purpose}-{uuid.uuid4().hex}"
+    return f"{_application_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/querent/{spark.sparkContext.applicationId}"
+
+
+def remove_run_dirs(spark: SparkSession) -> None:
+    """Remove all run tables of this application, once its results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import SparkSession
 from querent.sources.files import exists, list_names
 
 
+#: Functions that call any static method of the JVM.
+REFLECTIVE = ("reflect", "java_method", "try_reflect")
+
+
 def register_database(
     spark: SparkSession, db_id: str, root: str, settings: dict[str, str] | None = None
 ) -> SparkSession:
@@ -30,8 +34,15 @@ def register_database(
 def register_tables(
     spark: SparkSession, paths: dict[str, str], settings: dict[str, str] | None = None
 ) -> SparkSession:
-    """A new session with one temp view per named Parquet path."""
+    """A new session with one temp view per named Parquet path.
+
+    Its statements cannot name files or call methods of the JVM.
+    """
     session = spark.newSession()
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    functions = session._jsparkSession.sessionState().functionRegistry()
+    for name in REFLECTIVE:
+        functions.dropFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
     for key, value in (settings or {}).items():
         session.conf.set(key, value)
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -13,6 +14,19 @@ def _path(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Malformed input is an error, never a null row.
+STRICT = {"mode": "FAILFAST"}
+
+
+def required(df: DataFrame, where: str, *names: str) -> DataFrame:
+    """``df``, failing where one of the columns is null."""
+    checked = {
+        name: F.coalesce(F.col(name), F.raise_error(F.lit(f"{where}: {name} is missing")).cast(df.schema[name].dataType))
+        for name in names
+    }
+    return df.withColumns(checked)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path, fs = _path(spark, path)
     return fs.exists(hadoop_path)

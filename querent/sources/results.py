@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.sources.files import exists, read_partitioned, require_sources
+from querent.sources.files import STRICT, exists, read_partitioned, require_sources, required
 
 DETAIL_STRUCT = (
     "struct<index:bigint,question:string,db_id:string,gold_sql:string,"
@@ -34,32 +34,43 @@ def read_method_results(spark: SparkSession, path: str, fmt: str = "parquet") ->
 
 
 def read_method_documents(
-    spark: SparkSession, required: dict[str, str], optional: dict[str, str] | None = None
+    spark: SparkSession,
+    needed: dict[str, str],
+    optional: dict[str, str] | None = None,
+    layout: str = "document",
 ) -> DataFrame:
     """Rows of one JSON document per method, ``{method name: path}``.
 
-    A missing required document is an error. An optional one is left out when
-    the file is missing or holds no ``results``.
+    A missing needed document is an error, and so are malformed JSON and rows
+    without index. An optional document is left out when the file is missing or
+    holds no ``results``. ``layout="lines"``: JSON lines of the rows themselves,
+    the splittable form for large results.
     """
-    require_sources(spark, required.values())
-    present = dict(required)
+    if layout not in ("document", "lines"):
+        raise ValueError(f"unknown layout: {layout}")
+    require_sources(spark, needed.values())
+    present = dict(needed)
     present.update(
         {name: path for name, path in (optional or {}).items() if exists(spark, path)}
     )
-    tables = [
-        spark.read.schema(DOCUMENT_SCHEMA)
-        .json(path, multiLine=True)
-        .select(F.lit(name).alias("method"), F.explode("results").alias("r"))
-        .select("method", F.col("r.index").alias("idx"), "r.*")
-        .drop("index")
-        for name, path in present.items()
-    ]
+    tables = [_document(spark, name, path, layout) for name, path in present.items()]
     rows = tables[0]
     for table in tables[1:]:
         rows = rows.unionByName(table)
     return rows
 
 
+def _document(spark: SparkSession, name: str, path: str, layout: str) -> DataFrame:
+    if layout == "lines":
+        rows = spark.read.schema(DETAIL_STRUCT.removeprefix("struct<").removesuffix(">")).json(path, **STRICT)
+    else:
+        document = spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True, **STRICT)
+        rows = document.select(F.explode("results").alias("r")).select("r.*")
+    rows = required(rows.withColumnRenamed("index", "idx"), path, "idx")
+    details = [column for column in rows.columns if column != "idx"]
+    return rows.select(F.lit(name).alias("method"), "idx", *details)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """Write a one-row summary as a JSON document."""
     summary.write.mode("overwrite").json(path)

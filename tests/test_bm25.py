@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -143,3 +144,22 @@ def test_text_ids_and_empty_corpus(spark):
     none = bm25.build_bm25_index(items.limit(0))
     assert bm25.bm25_topk(none, asked, 5).count() == 0
     assert bm25.bm25_topk(bm25.build_bm25_index(items), asked.limit(0), 5).count() == 0
+
+
+def test_search_within_databases_skips_the_others(spark):
+    docs = [f"word{i} common" for i in range(40)]
+    index = bm25.build_bm25_index(make(spark, docs, [f"db{i % 4}" for i in range(40)]))
+    for fill in (True, False):
+        hits = bm25.bm25_topk(index, ask(spark, [("db1", "common word1")]), 3, within=True, fill=fill)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*db_id#", plan), plan
+        assert {r.item_db_id for r in hits.collect()} == {"db1"}
+    with pytest.raises(ValueError):
+        bm25.bm25_topk(index, ask(spark, [("db1", "common")]), 3, within=True, mode="posst")
+
+
+def test_the_last_published_index_is_read(spark, tmp_path):
+    path = str(tmp_path / "index")
+    bm25.build_bm25_index(make(spark, ["a b"], ["x"]), path)
+    again = bm25.build_bm25_index(make(spark, ["a b", "c"], ["x", None]), path)
+    assert again.stats.first().n_docs == 2 and bm25.read_bm25_index(spark, path).docs.count() == 2

@@ -155,3 +155,46 @@ def test_catalog_lines_are_ordered_by_their_column(spark, tmp_path):
     catalog = read_catalog(spark, str(tmp_path / "tables.jsonl"), layout="lines")
     texts = {r.db_id: r.schema_text for r in schema.render_schema_text(catalog).collect()}
     assert texts == {"shop": SHOP_TEXT, "plain": PLAIN_TEXT}
+
+
+@pytest.mark.parametrize("text", ['[{"db_id": "a", "question": "q", "que', '[{"db_id": "a", "question": "q"}]', "{broken"])
+@pytest.mark.parametrize("layout", ["array", "lines"])
+def test_broken_examples_are_errors(spark, tmp_path, text, layout):
+    from querent.sources.examples import read_examples
+
+    path = tmp_path / "examples.json"
+    path.write_text(text if layout == "array" else text.strip("[]"))
+    with pytest.raises(Exception):
+        read_examples(spark, str(path), "train", layout=layout).collect()
+
+
+@pytest.mark.parametrize("layout", ["array", "lines"])
+@pytest.mark.parametrize(
+    "row",
+    [
+        '{"db_id": "a", "table_names_original": ["t"], "column_names_original": [["0", "c"]]',
+        '{"db_id": "a", "table_names_original": ["t"], "column_names_original": [["0", "c"]], "ord": 1}',
+        '{"db_id": "a", "table_names_original": ["t"], "column_names_original": [["0", "c"]], "column_types": [], "ord": 1}',
+    ],
+)
+def test_broken_catalogs_are_errors(spark, tmp_path, row, layout):
+    from querent.sources.catalogs import read_catalog
+
+    path = tmp_path / "catalog.json"
+    path.write_text(f"[{row}]" if layout == "array" else row)
+    with pytest.raises(Exception):
+        read_catalog(spark, str(path), layout=layout).collect()
+
+
+@pytest.mark.parametrize("keys", ["array(array(1L, 9L))", "array(array(1L))", "array(array(0L, 1L))"])
+def test_bad_keys_are_errors(spark, keys):
+    row = spark.sql(
+        f"""SELECT 'a' db_id, array('t') table_names_original, array(array('-1', '*'), array('0', 'c')) column_names_original,
+        array('text', 'int') column_types, {keys} foreign_keys, array(1L) primary_keys"""
+    )
+    with pytest.raises(Exception, match="database a"):
+        schema.render_schema_text(row).collect()
+    bad = row.selectExpr("* EXCEPT (foreign_keys, primary_keys)", "array(5L) AS primary_keys", "CAST(NULL AS array<array<bigint>>) AS foreign_keys")
+    for made in (schema.resolve_primary_keys(bad), schema.render_schema_text(bad)):
+        with pytest.raises(Exception, match="database a"):
+            made.collect()

@@ -159,3 +159,20 @@ def test_vectors_of_different_length_are_an_error(spark):
     df = spark.range(3).selectExpr("'x' AS text").coalesce(1)
     with pytest.raises(Exception, match="encoder gave"):
         dense.embed(df, "text", bad, batch_size=2).collect()
+
+
+@pytest.mark.parametrize("bad", [None, [1.0], [1.0, float("nan"), 0.0], [1.0, None, 0.0], [float("inf"), 0.0, 0.0]])
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_queries=0)])
+def test_unusable_vectors_are_errors(spark, tmp_path, bad, limits):
+    schema = "item_id long, corpus_idx long, db_id string, v array<double>"
+    items = spark.createDataFrame([(1, 1, "a", [1.0, 2.0, 3.0]), (7, 2, "a", bad)], schema)
+    with pytest.raises(Exception, match="7"):
+        dense.write_vector_index(items, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(0, "a", [0.0, 1.0, 0.0])], "query_id long, db_id string, v array<double>")
+    with pytest.raises(Exception, match="7"):
+        dense.vector_topk(items, asked, 2, limits=limits).collect()
+    other = spark.createDataFrame([(0, "a", [0.0, 1.0])], "query_id long, db_id string, v array<double>")
+    with pytest.raises(Exception, match="numbers"):
+        dense.vector_topk(items.filter("item_id = 1"), other, 2, limits=limits).collect()
+    with pytest.raises(ValueError):
+        dense.vector_topk(items, asked, 2, within=True, mode="both")

@@ -128,3 +128,46 @@ def test_settings_of_a_database(spark, tmp_path):
     sessions = {"lax": lax, "strict": spark}
     rows = execution.evaluate(pairs, sessions.__getitem__).collect()
     assert {r.pair_id: (r.gold_success, r.execution_match) for r in rows} == {1: (True, True), 2: (False, False)}
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT x FROM n WHERE EXISTS (SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`)",
+        "SELECT * FROM kept_table",
+        "SELECT (SELECT max(v) FROM kept_table)",
+    ],
+)
+def test_only_views_are_read(spark, database, sql):
+    spark.sql("CREATE TABLE IF NOT EXISTS kept_table (v INT) USING parquet")
+    try:
+        statements = spark.createDataFrame([("one", sql), ("one", "SELECT x FROM n")], "db_id string, sql string")
+        runs = execution.run_statements(statements, database)
+        got = {r.sql: r.success for r in runs.outcomes.collect()}
+        assert got == {sql: False, "SELECT x FROM n": True}
+    finally:
+        spark.sql("DROP TABLE kept_table")
+
+
+def test_folders_do_not_grow_with_statements(spark, database, tmp_path):
+    rows = [("one", f"SELECT x + {i} FROM n") for i in range(70)] + [("one", "SELECT CAST(t AS INT) FROM n")]
+    runs = execution.run_statements(spark.createDataFrame(rows, "db_id string, sql string"), database, str(tmp_path / "runs"))
+    assert runs.outcomes.filter("success").count() == 70 and runs.rows.count() == 280
+    assert len(list((tmp_path / "runs" / "rows").iterdir())) <= 5
+
+
+def test_a_late_statement_has_failed(spark, database):
+    slow = "SELECT count(*) FROM range(100000) a CROSS JOIN range(1000000) b WHERE a.id * b.id % 7 = 3"
+    statements = spark.createDataFrame([("one", slow), ("one", "SELECT x FROM n")], "db_id string, sql string")
+    runs = execution.run_statements(statements, database, deadline=6.0)
+    assert {r.sql: (r.success, r.error) for r in runs.outcomes.collect()} == {slow: (False, "DEADLINE"), "SELECT x FROM n": (True, None)}
+
+
+def test_storage_faults_are_raised(spark, database):
+    statements = spark.createDataFrame([("one", "SELECT x FROM n")], "db_id string, sql string")
+    with pytest.raises(Exception):
+        execution.run_statements(statements, database, "/proc/no/such/folder")

@@ -89,7 +89,13 @@ def test_pairs(aligned):
 def test_coverage(results):
     short = results.filter("NOT (method = 'bm25_rag' AND idx = 6)")
     assert [tuple(r) for r in metrics.coverage_gaps(short, METHODS).collect()] == [(6, 2)]
-    assert metrics.align_methods(short, METHODS).count() == 6
+    assert metrics.align_methods(short, METHODS, gaps="drop").count() == 6
+    twice = results.union(results.filter("method = 'bm25_rag' AND idx = 6"))
+    for bad in (short, twice):
+        with pytest.raises(Exception, match="example 6 has . rows of method bm25_rag"):
+            metrics.align_methods(bad, METHODS).collect()
+    with pytest.raises(ValueError):
+        metrics.align_methods(short, METHODS, gaps="keep")
     assert metrics.methods_in(short, ["cot_rag", *METHODS]) == METHODS
 
 

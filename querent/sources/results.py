@@ -62,7 +62,7 @@ def read_method_documents(
 
 def _document(spark: SparkSession, name: str, path: str, layout: str) -> DataFrame:
     if layout == "lines":
-        rows = spark.read.schema(DETAIL_STRUCT.removeprefix("struct<").removesuffix(">")).json(path, **STRICT)
+        rows = spark.read.schema(DETAIL_STRUCT.removeprefix("struct<").removesuffix(">").replace(":", " ")).json(path, **STRICT)
     else:
         document = spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True, **STRICT)
         rows = document.select(F.explode("results").alias("r")).select("r.*")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from querent.functions.text import EXPLANATION_STARTS, STATEMENT_ENDS, STATEMENT_WORDS
 from querent.operators.context import PLAIN_TEMPLATE, RAG_TEMPLATE, STEPWISE_TEMPLATE
+from querent.operators.metrics import REPORTED_PAIRS
 from workload.inputs import KS, METHODS, PLAIN_PAIRS, REGION_PAIRS
 
 K = 10
@@ -26,9 +28,9 @@ def _with(*ctes: str, select: str) -> str:
 CORPUS = "corpus AS (SELECT doc_id item_id, doc_id corpus_idx, lang db_id, text FROM documents)"
 QUERIES = """queries AS (SELECT item_id query_id,
     ['de', 'en', 'es', 'fr'][item_id % 4 + 1] db_id, text FROM benchmark)"""
-TURNS = """turns AS (SELECT conv_id * 10000 + turn idx, conv_id, turn,
+TURNS = """turns AS (SELECT ((conv_id + turn) * (conv_id + turn + 1)) // 2 + turn idx, conv_id, turn,
     CASE WHEN conv_id % 5 = 0 THEN 'dev' ELSE 'train' END split,
-    'db' || (conv_id % 8) db_id, text question FROM conversations WHERE role = 'user'),
+    'db' || (conv_id // 12) db_id, text question FROM conversations WHERE role = 'user'),
 answers AS (SELECT conv_id, turn - 1 turn, text query FROM conversations
     WHERE role = 'assistant')"""
 EXAMPLES = (
@@ -69,7 +71,7 @@ schemas AS (SELECT b.db_id, 'Database: ' || b.db_id || chr(10) || chr(10) || 'Ta
     GROUP BY b.db_id)"""
 )
 OUTCOMES = """outcomes AS (SELECT doc_id idx, source || '/' || doc_id question, lang db_id, n_chars,
-    quality = 1 baseline, toxic = 0 schema_only, n_chars > 500 examples_only, lang = 'en' dense_rag,
+    quality = 1 baseline, toxic = 0 AND doc_id % 5 <> 0 schema_only, n_chars > 500 examples_only, lang = 'en' dense_rag,
     n_chars % 2 = 0 bm25_rag, doc_id % 3 = 0 cot_rag FROM documents JOIN labels USING (doc_id)),
 results AS (UNPIVOT outcomes ON baseline, schema_only, examples_only, dense_rag, bm25_rag, cot_rag
     INTO NAME method VALUE execution_match)"""
@@ -166,6 +168,7 @@ near AS (SELECT query_id, item_id, label, distance, row_number() OVER
     (PARTITION BY query_id ORDER BY round(distance, 6), item_id) near FROM
     (SELECT query_id, item_id, label, list_distance(q.v, i.v) ** 2 distance
      FROM label_queries q, items i))"""
+OWN_LABEL = "CASE WHEN query_id % 2 = 0 THEN query_id ELSE (query_id + 1) % 10 END"
 HIT = "round(distance, 4) distance, round(1 / (1 + distance), 4) similarity"
 
 
@@ -225,9 +228,9 @@ PROMPT_JOINS = """FROM queries LEFT JOIN schemas USING (db_id) LEFT JOIN bm25_te
 
 # Extraction
 
-STATEMENT = "(?:WITH|SELECT|INSERT|UPDATE|DELETE)\\s+"
-STATEMENT_END = "(?i)\\n(?:This |The |Note:|Explanation:|--)"
-EXPLAINS = "^(?:This query|The query|This |Note:|Explanation:)"
+STATEMENT = f"(?:{'|'.join(STATEMENT_WORDS)})\\s+"
+STATEMENT_END = f"(?i)\\n(?:{'|'.join(STATEMENT_ENDS)})"
+EXPLAINS = f"^(?:{'|'.join(EXPLANATION_STARTS)})"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WRAPPED = " ".join(
     f"WHEN {i} THEN {form}"
@@ -409,21 +412,73 @@ ORACLES = {
     ),
     "vector_index_roundtrip": """SELECT vec_id item_id, label::VARCHAR db_id, 1.0::DOUBLE norm
         FROM embeddings""",
+    "bm25_topk_global_filled": _bm25_topk(within=False, fill=True),
+    "vector_index_values": """SELECT item_id, pos - 1 place, round(CASE WHEN item_id % 50 = 0 THEN 0 ELSE x / norm END, 6) x
+        FROM (SELECT vec_id item_id, unnest(embedding::DOUBLE[]) x, generate_subscripts(embedding, 1) pos,
+            sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) norm FROM embeddings)""",
+    "generated_by_function": _with(
+        TURNS, select=f"SELECT idx query_id, 'SELECT ' || length({_prompt(PLAIN_TEMPLATE)}) response FROM turns"
+    ),
+    "questions_to_accuracy": _with(
+        CONTEXTS,
+        select="SELECT method, count(*) FILTER (ok) correct, count(*) total, round(count(*) FILTER (ok) / count(*), 6) accuracy FROM ("
+        + _union(
+            f"SELECT '{method}' AS method, length({prompt}) % 7 = length(question) % 7 ok FROM queries "
+            "LEFT JOIN schemas USING (db_id) LEFT JOIN bm25_text b USING (query_id)"
+            for method, prompt in METHOD_PROMPTS.items()
+            if method in ("baseline", "schema_only", "bm25_rag")
+        )
+        + ") GROUP BY method",
+    ),
+    "read_examples": _with(EXAMPLES, select="SELECT 'all' split, idx, db_id, question, query FROM examples"),
+    "read_catalog": _with(SCHEMAS, select="SELECT db_id, schema_text FROM schemas"),
+    "registered_database": """SELECT n_name, count(*) n FROM nation JOIN customer ON c_nationkey = n_nationkey
+        GROUP BY n_name""",
+    "method_results_roundtrip": _with(OUTCOMES, select="SELECT method, idx, execution_match FROM results"),
+    "read_method_documents": _with(
+        OUTCOMES, select="SELECT method, idx, question, db_id, execution_match FROM results"
+    ),
+    "analysis_document": _with(
+        OUTCOMES,
+        select=f"SELECT count(*) num_examples, count(*) FILTER ({RIGHT} = 0) all_failed, "
+        f"count(*) FILTER ({RIGHT} = {len(METHODS)}) all_succeeded, "
+        + ", ".join(f"round(count(*) FILTER ({m}) / count(*), 6) accuracy_{m}" for m in METHODS)
+        + ", "
+        + ", ".join(f"count(*) FILTER ({m} AND {RIGHT} = 1) only_{m}" for m in METHODS)
+        + " FROM outcomes",
+    ),
+    "coverage_gaps": _with(
+        OUTCOMES,
+        select="""SELECT idx, 6 - (idx % 7 = 0)::BIGINT - (idx % 11 = 0)::BIGINT n_methods FROM outcomes
+        WHERE idx % 7 = 0 OR idx % 11 = 0""",
+    ),
+    "experiment_summary": _with(
+        ACCURACY,
+        select=f"""SELECT total num_examples, {K}::BIGINT k_value, method best_method,
+        round(accuracy.accuracy, 6) best_accuracy FROM accuracy
+        ORDER BY accuracy.accuracy DESC, list_position({list(METHODS)}, method) LIMIT 1""",
+    ),
+    "sweep_summary": _with(
+        K_ACCURACY,
+        select="""SELECT total num_examples, k best_k, round(accuracy, 6) best_accuracy FROM k_accuracy
+        ORDER BY k_accuracy.accuracy DESC, k LIMIT 1""",
+    ),
+    "reported_pairs": _with(OUTCOMES, select=_union(_wins(a, b) for a, b in REPORTED_PAIRS)),
     "vector_topk": _label_hits(
         f"SELECT query_id, near rank, item_id, {HIT} FROM near WHERE near <= {K}"
     ),
     "vector_topk_postfilter": _label_hits(
         f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY near) rank, item_id, {HIT}
-        FROM near WHERE near <= {5 * K} AND label = query_id QUALIFY rank <= {K}"""
+        FROM near WHERE near <= {5 * K} AND label = {OWN_LABEL} QUALIFY rank <= {K}"""
     ),
     "vector_topk_prefilter": _label_hits(
         f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY near) rank, item_id, {HIT}
-        FROM near WHERE label = query_id QUALIFY rank <= {K}"""
+        FROM near WHERE label = {OWN_LABEL} QUALIFY rank <= {K}"""
     ),
     "vector_topk_sweep": _label_hits(
         f"""SELECT k::BIGINT k, query_id,
         row_number() OVER (PARTITION BY k, query_id ORDER BY near) rank, item_id, {HIT}
-        FROM near, range({KS[0]}, {KS[-1] + 5}, 5) r(k) WHERE near <= 5 * k AND label = query_id
+        FROM near, range({KS[0]}, {KS[-1] + 5}, 5) r(k) WHERE near <= 5 * k AND label = {OWN_LABEL}
         QUALIFY rank <= k"""
     ),
     "text_vector_topk": _with(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.functions.text import extract_sql
 from querent.functions.vectors import l2_norm, normalize, squared_l2
 from querent.operators import bm25, context, corpus, dense, execution, generation, metrics, schema
-from querent.plans.answering import bm25_hits, dense_hits
+from querent.plans import experiments
+from querent.plans.answering import bm25_hits, dense_hits, generate_sql
+from querent.session import new_run_dir
+from querent.sources import catalogs, databases, examples, files, results
 from workload import inputs
 
 K = 10
@@ -107,6 +110,10 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf, fill=False)
 
 
+def bm25_topk_global_filled(spark, sf):
+    return _bm25(spark, sf)
+
+
 def bm25_topk_in_db(spark, sf):
     return _bm25(spark, sf, within=True, fill=False)
 
@@ -149,6 +156,13 @@ def vector_index_roundtrip(spark, sf):
     return stored.select("item_id", "db_id", F.round(l2_norm(F.col("v")), 6).alias("norm"))
 
 
+def vector_index_values(spark, sf):
+    """Every stored number; zero vectors stay zero."""
+    stored = inputs.vectors_with_zeros(spark, sf)
+    numbers = stored.select("item_id", F.posexplode("v").alias("place", "x"))
+    return numbers.select("item_id", F.col("place").cast("bigint").alias("place"), F.round("x", 6).alias("x"))
+
+
 def _vector_hits(hits: DataFrame, *more: str) -> DataFrame:
     return hits.select(
         *more,
@@ -243,8 +257,7 @@ def responses_join(spark, sf):
         F.col("idx").alias("query_id"), context.prompt_plain(F.col("question")).alias("prompt")
     )
     stored = inputs.answers(spark, sf).select(
-        (F.col("conv_id") * 10_000 + F.col("turn")).alias("query_id"),
-        F.col("query").alias("response"),
+        inputs.turn_id().alias("query_id"), F.col("query").alias("response")
     )
     answered = generation.generate(asked, generation.from_stored(stored))
     return answered.select("query_id", "response")
@@ -255,6 +268,13 @@ def extracted_sql(spark, sf):
     return made.select("query_id", extract_sql(F.col("response")).alias("sql"))
 
 
+def generated_by_function(spark, sf):
+    """Responses of a plugged-in function to the prompts of all user turns."""
+    prompts = prompt_plain(spark, sf)
+    call = generation.from_function(lambda: lambda texts: [f"SELECT {len(t)}" for t in texts])
+    return generation.generate(prompts, call).select("query_id", "response")
+
+
 # Execution
 
 
@@ -305,9 +325,120 @@ def evaluate_methods(spark, sf):
     return _rounded(metrics.method_accuracy(detail), "accuracy")
 
 
+CHAIN = tuple(c for c in context.PROMPT_CONFIGS if c.method in ("baseline", "schema_only", "bm25_rag"))
+
+
+def _counting(n: Column) -> Column:
+    return F.concat(F.lit("SELECT count(*) FROM nation WHERE n_nationkey < "), (n % 7).cast("string"))
+
+
+def questions_to_accuracy(spark, sf):
+    """The whole chain: hits, prompts, generator, extraction, execution, accuracy.
+
+    The generator asks for a number that depends on the length of its prompt, the
+    gold statement for one that depends on the question's.
+    """
+    asked = inputs.dev_questions(spark, sf)
+    call = generation.from_function(
+        lambda: lambda texts: [f"```sql\nSELECT count(*) FROM nation WHERE n_nationkey < {len(t) % 7};\n```" for t in texts],
+        keys=("query_id", "method"),
+    )
+    made = generate_sql(asked, schema_text(spark, sf), {"bm25": _example_hits(spark, sf)}, call, CHAIN)
+    pairs = made.select(
+        "method",
+        F.col("query_id").alias("idx"),
+        "question",
+        F.lit("tpch").alias("db_id"),
+        _counting(F.length("question")).alias("gold_sql"),
+        "generated_sql",
+    )
+    detail = execution.evaluate(pairs, inputs.databases(spark, sf))
+    return _rounded(metrics.method_accuracy(detail), "accuracy")
+
+
+# Sources and sinks: the given tables written out and read back
+
+
+def read_examples(spark, sf):
+    path = new_run_dir(spark, "examples")
+    inputs.examples(spark, sf).drop("split").write.json(path)
+    return examples.read_examples(spark, path, "all", layout="lines")
+
+
+def read_catalog(spark, sf):
+    """Every database twice, the first time without keys; the last one counts."""
+    path = new_run_dir(spark, "catalog")
+    once = inputs.catalog(spark, sf)
+    bare = once.withColumns({"primary_keys": F.array().cast("array<bigint>"), "ord": F.lit(1)})
+    rows = bare.unionByName(once.withColumn("ord", F.lit(2)))
+    rows.write.option("ignoreNullFields", "true").json(path)
+    return schema.render_schema_text(catalogs.read_catalog(spark, path, layout="lines"))
+
+
+def registered_database(spark, sf):
+    """Tables written as the folder of a database, checked, registered and asked."""
+    root = new_run_dir(spark, "databases")
+    for name in ("nation", "customer"):
+        inputs.table(spark, sf, name).write.parquet(f"{root}/shop/{name}.parquet")
+    files.require_sources(spark, [f"{root}/shop/nation.parquet", f"{root}/shop/customer.parquet"])
+    session = databases.register_database(spark, "shop", root)
+    return session.sql(
+        "SELECT n_name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"
+    )
+
+
+def method_results_roundtrip(spark, sf):
+    path = new_run_dir(spark, "results")
+    results.write_method_results(inputs.method_results(spark, sf), path)
+    return results.read_method_results(spark, path).select("method", "idx", "execution_match")
+
+
+def read_method_documents(spark, sf):
+    path, rows = new_run_dir(spark, "documents"), inputs.method_results(spark, sf)
+    named = rows.withColumnRenamed("idx", "index")
+    named.write.partitionBy("method").json(path)
+    paths = {m: f"{path}/method={m}" for m in inputs.METHODS}
+    read = results.read_method_documents(spark, paths, {"gone": f"{path}/gone"}, layout="lines")
+    return read.select("method", "idx", "question", "db_id", "execution_match")
+
+
+def analysis_document(spark, sf):
+    """The summary document of the analysis, as written."""
+    path = new_run_dir(spark, "analysis")
+    gold = inputs.method_results(spark, sf).withColumn("gold_sql", F.lit("SELECT 1"))
+    experiments.analyse(gold, inputs.METHODS, path)
+    told = spark.read.json(f"{path}/summary")
+    shares = [F.round(f"accuracies.{m}", 6).alias(f"accuracy_{m}") for m in inputs.METHODS]
+    only = [F.col(f"unique_successes.{m}").alias(f"only_{m}") for m in inputs.METHODS]
+    return told.select("num_examples", "all_failed", "all_succeeded", *shares, *only)
+
+
 # Analysis
 
 
+def coverage_gaps(spark, sf):
+    """Two methods lack some examples."""
+    lacks = (F.col("method") == "bm25_rag") & (F.col("idx") % 7 == 0)
+    lacks = lacks | (F.col("method") == "cot_rag") & (F.col("idx") % 11 == 0)
+    rows = inputs.method_results(spark, sf).filter(~lacks)
+    return metrics.coverage_gaps(rows, inputs.METHODS)
+
+
+def experiment_summary(spark, sf):
+    told = experiments.experiment_summary(inputs.method_results(spark, sf), K, inputs.METHODS)
+    return _rounded(told.drop("methods"), "best_accuracy")
+
+
+def sweep_summary(spark, sf):
+    told = experiments.sweep_summary(inputs.k_results(spark, sf), inputs.KS)
+    return _rounded(told.select("num_examples", "best_k", "best_accuracy"), "best_accuracy")
+
+
+def reported_pairs(spark, sf):
+    aligned = inputs.aligned_results(spark, sf)
+    return metrics.pairwise_methods(aligned, inputs.METHODS, metrics.REPORTED_PAIRS)
+
+
 def method_accuracy(spark, sf):
     return _rounded(metrics.method_accuracy(inputs.method_results(spark, sf)), "accuracy")
 
@@ -379,12 +510,14 @@ QUERIES = {
         bm25_index_stats,
         bm25_idf,
         bm25_topk,
+        bm25_topk_global_filled,
         bm25_topk_in_db,
         bm25_topk_filled,
         hashed_embeddings,
         vector_norms,
         vector_distance,
         vector_index_roundtrip,
+        vector_index_values,
         vector_topk,
         vector_topk_postfilter,
         vector_topk_prefilter,
@@ -411,5 +544,17 @@ QUERIES = {
         all_succeeded,
         pairwise_methods,
         method_agreement,
+        generated_by_function,
+        questions_to_accuracy,
+        read_examples,
+        read_catalog,
+        registered_database,
+        method_results_roundtrip,
+        read_method_documents,
+        analysis_document,
+        coverage_gaps,
+        experiment_summary,
+        sweep_summary,
+        reported_pairs,
     )
 } | {"extract_sql": extracted_sql}

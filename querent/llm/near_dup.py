@@ -340,30 +340,33 @@ def _across(rows: DataFrame, sharp: DataFrame, threshold: float, nearest: bool)
     return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_sifted(threshold, nearest), "a long, b long")
 
 
-def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, root)``: the least node of each connected component of ``links`` (a, b).
+def _roots(current: DataFrame, links: DataFrame) -> DataFrame:
+    """``current`` (node, root) after joining the classes that ``links`` (a, b) connect; the least root stays.
 
-    Each round takes the least root among a component's neighbours, then jumps to
-    the root of that root; rounds grow with the logarithm of a component's width.
-    Tables are written between rounds, so lineage stays short.
+    Links between nodes become links between roots. In each round a root moves to
+    the least of its neighbours, then to the root of that root; links inside a
+    class go. Rounds grow with the logarithm of a component's width. Tables are
+    written between rounds, so lineage stays short.
     """
-    current = stored(nodes.select("node", F.col("node").alias("root")), "classes")
+    ends = links.join(current.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a")
+    ends = ends.join(current.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
     while True:
-        ends = links.join(current.withColumnsRenamed({"node": "a", "root": "root_a"}), "a")
-        ends = ends.join(current.withColumnsRenamed({"node": "b", "root": "root_b"}), "b").filter("root_a <> root_b")
-        moves = ends.select(F.greatest("root_a", "root_b").alias("root"), F.least("root_a", "root_b").alias("to"))
-        moves = stored(moves.groupBy("root").agg(F.min("to").alias("to")), "class-moves")
-        if moves.isEmpty():
+        between = ends.filter("root_a <> root_b").select(F.greatest("root_a", "root_b").alias("root"), F.least("root_a", "root_b").alias("to"))
+        between = stored(between.distinct(), "class-links")
+        if between.isEmpty():
             return current
-        jumps = moves.select(F.col("root").alias("to"), F.col("to").alias("further"))
+        moves = stored(between.groupBy("root").agg(F.min("to").alias("to")), "class-moves")
         while True:
-            jumped = moves.join(jumps, "to", "left")
-            jumped = stored(jumped.select("root", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "class-moves")
+            further = moves.select(F.col("root").alias("to"), F.col("to").alias("further"))
+            jumped = moves.join(further, "to", "left").select("root", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
+            jumped = stored(jumped, "class-moves")
+            moves = jumped.select("root", "to")
             if jumped.filter("moved").isEmpty():
                 break
-            moves = jumped.select("root", "to")
-            jumps = moves.select(F.col("root").alias("to"), F.col("to").alias("further"))
-        current = stored(current.join(jumped.select("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "classes")
+        current = stored(current.join(moves, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "classes")
+        high, low = (moves.select(F.col("root").alias(end), F.col("to").alias(f"{end}_to")) for end in ("root", "to"))
+        ends = between.join(high, "root", "left").join(low, "to", "left")
+        ends = ends.select(F.coalesce("root_to", "root").alias("root_a"), F.coalesce("to_to", "to").alias("root_b"))
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
@@ -400,7 +403,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
 
     pairs = nodes.filter("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     links = stored(similar_pairs(pairs, own, blocks, threshold), "near-links")
-    roots = _roots(nodes, links)
+    roots = _roots(nodes.select("node", F.col("node").alias("root")), links)
     # the nearest partners first: they join most classes, and few pairs are left between them
     sharp = None
     for nearest in (True, False):
@@ -408,9 +411,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
         sharp = _sharp(rows, own, first) if sharp is None else sharp
         likely = stored(_across(rows, sharp, threshold, nearest).distinct(), "near-likely")
         more = stored(similar_pairs(likely, own, blocks, threshold), "near-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = _roots(nodes, links)
+        roots = _roots(roots, more)
 
     class_of = roots.withColumnsRenamed({"node": "text_id", "root": "class_id"})
     classed = prints.join(equal, "digest", "left").join(class_of, "text_id", "left")

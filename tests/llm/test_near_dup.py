@@ -122,7 +122,7 @@ def test_odd_rows(spark, take):
 
 
 def test_components_of_a_long_path(spark):
-    nodes = spark.range(40).selectExpr("id as node")
+    nodes = spark.range(40).selectExpr("id as node", "id as root")
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 29)] + [(33, 31)], "a long, b long")
     roots = {r["node"]: r["root"] for r in near_dup._roots(nodes, links).collect()}
     assert all(roots[i] == 0 for i in range(30)) and roots[33] == 31 and roots[35] == 35

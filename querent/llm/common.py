@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +35,12 @@ def n_words(text: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as empty."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
+
+
+def shared_object(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of a pickled object of bounded size.
+
+    Its classes travel as the registered packages do, so the package need not be
+    installed on the workers; tasks unpickle what they get.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -8,6 +8,7 @@ language's own texts of like length ever are get rejected.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import fold, fresh
+from querent.llm.common import fold, fresh, shared_object
 
 DIMS = 2048
 ORDERS = (1, 2, 3)
@@ -26,7 +27,7 @@ FIT_ROWS = 6000
 CENTROIDS = 4
 UNKNOWN = "und"
 #: Accepted: cosines of at least this share of the lowest among fitted texts of like length.
-SLACK = 0.8
+SLACK = 0.6
 PIECE = 1 << 20
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BATCH = 256
@@ -151,11 +152,11 @@ def identify(docs: DataFrame, model: CentroidModel | None, text: str = "text") -
     so is every text if there is no model. Columns of these names are replaced.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_object(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = pickle.loads(shared.value)
         for batch in batches:
             texts = batch.column(at)
             lang, score, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querent.llm.common import shared_object
 from querent.session import stored
 
 HEAD = 27
@@ -199,7 +201,7 @@ def local_updates(model: Model, weights: np.ndarray, bias: np.ndarray, slots: np
 
 def _trainer(shared, turn: int, rounds: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = pickle.loads(shared.value)
         weights, bias = model.weights.copy(), model.bias.copy()
         power, seen, total = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float64), 0
         for batch in batches:
@@ -253,7 +255,7 @@ def train_classes(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Mode
     spark = blocks.sparkSession
     needed = blocks.select("block", "held", "lengths", "tokens", "words")
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = shared_object(spark, model)
         sent = needed.mapInArrow(_trainer(shared, turn, rounds), "slot int, seen double, moved binary")
         means = sent.repartition(8, "slot").mapInArrow(_summed, "slot int, moved binary").toArrow()
         for slot, raw in zip(means.column("slot").to_pylist(), means.column("moved").to_pylist()):
@@ -317,7 +319,7 @@ SCORES = (
 
 def _scorer(shared, train_tokens: int, known_words: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = pickle.loads(shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths = batch.column(2)[i].values.to_numpy()
@@ -366,5 +368,5 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     whole = blocks.select("block", "held", "lengths", "tokens", "words", "doc_ids").join(lists, "block", "left")
     none = F.array().cast("array<long>")
     whole = whole.select("block", "held", "lengths", "tokens", "words", F.coalesce("known", none).alias("known"), "doc_ids")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_object(docs.sparkSession, model)
     return whole.mapInArrow(_scorer(shared, train_tokens, known_words), SCORES)

@@ -9,6 +9,7 @@ labelled documents neither was fitted on, and combined to score every document.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import fold
+from querent.llm.common import fold, shared_object
 
 #: Labelled rows the views are fitted and calibrated on, and unlabelled rows of the pool.
 FIT_ROWS, POOL_ROWS = 12_000, 12_000
@@ -182,10 +183,10 @@ def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = T
     without a model every score is null and every document kept. Other columns
     are ignored; repeated rows score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_object(docs.sparkSession, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = pickle.loads(shared.value)
         for batch in batches:
             columns: list[list] = [[], [], []]
             for start in range(0, batch.num_rows, 512):

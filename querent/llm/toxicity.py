@@ -8,6 +8,7 @@ voters repeat each other; its posterior labels train a linear classifier.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import fold
+from querent.llm.common import fold, shared_object
 from querent.session import stored
 
 #: Labelled rows the models are fitted on, half of them toxic if there are as many.
@@ -28,13 +29,21 @@ MIN_DOCS = 3
 #: Evidence (log ratio times surplus of documents) that a term needs as a feature and as a voter.
 FEATURE_EVIDENCE, VOTER_EVIDENCE = 12.0, 18.0
 PATTERNS = ("two_terms", "no_term", "shouting", "exclaiming", "clean_caps")
+#: Lengths of the starts of words that are terms, too.
+STARTS = (4, 5)
 #: Separators of words: everything in ASCII but letters and the apostrophe.
 SPLIT = bytes(c if c >= 128 or chr(c).isalpha() or c == 39 else 32 for c in range(256))
 
 
 def term_set(text: str | None) -> set[bytes]:
-    """Lower-case words of a whole text."""
-    return set(text.lower().encode(errors="replace").translate(SPLIT).split()) if text else set()
+    """Lower-case words of a whole text, and the starts of longer words with a star.
+
+    Starts catch stems that take many endings.
+    """
+    if not text:
+        return set()
+    words = set(text.lower().encode(errors="replace").translate(SPLIT).split())
+    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STARTS))
 
 
 def shape(text: str | None) -> list[float]:
@@ -201,11 +210,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "te
     A null text scores as an empty one. A column of this name is replaced.
     """
     docs = docs.drop("score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_object(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = pickle.loads(shared.value)
         if known:
             index, lexicon = {t: i for i, t in enumerate(known.terms)}, set(known.lexicon)
         for batch in batches:

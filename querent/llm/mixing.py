@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import fresh, n_words
+from querent.llm.common import n_words
 from querent.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -36,6 +36,7 @@ class Mix:
 
     sources: DataFrame
     blocks: DataFrame
+    picked: DataFrame
     documents: DataFrame
 
 
@@ -178,7 +179,7 @@ def draw_mix(
         F.array_sort(F.collect_list(F.struct("copy", "shard", (F.col("partly") & (F.col("copy") > F.col("copies"))).alias("partly")))).alias("drawn")
     )
     placed = stored(placed, "mix-placed")
-    return Mix(sources, placed, _with_copies(rows, placed, picked))
+    return Mix(sources, placed, picked, _with_copies(rows, placed, picked))
 
 
 def _with_copies(rows: DataFrame, placed: DataFrame, picked: DataFrame) -> DataFrame:
@@ -206,10 +207,16 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how
     Output partitions are the shards; within one, rows are shuffled by a hash.
     """
     mix = draw_mix(docs, shards=shards, seed=seed, **how)
-    names = {name: fresh(docs, name) for name in ("mix_key", "mix_shards", "mix_shard", "mix_copy")}
-    decided = mix.documents.groupBy("key").agg(F.first("shards").alias("shards"))
-    decided = stored(decided.select(F.col("key").alias(names["mix_key"]), F.col("shards").alias(names["mix_shards"])), "mix-decided")
-    keyed = docs.withColumn(names["mix_key"], row_key(seed)).join(decided, names["mix_key"])
-    rows = keyed.select(*[F.col(c) for c in docs.columns], names["mix_key"], F.posexplode(names["mix_shards"]).alias(names["mix_copy"], names["mix_shard"]))
-    local = F.xxhash64(F.lit(seed + 2), F.col(names["mix_key"]), F.col(names["mix_copy"]))
-    return rows.repartition(shards, names["mix_shard"]).sortWithinPartitions(names["mix_shard"], local).select(*docs.columns)
+    # columns get plain names while helper columns are beside them; decisions are
+    # joined by source and block, small tables next to the texts
+    own = [F.col(name).alias(f"c{i}") for i, name in enumerate(docs.columns)]
+    rows = docs.select(*own, F.col("source").alias("source"), row_key(seed).alias("key"))
+    of_source = mix.sources.select(F.col("source").alias("s_source"), "n_blocks")
+    rows = rows.join(of_source, F.col("source").eqNullSafe(F.col("s_source")))
+    rows = rows.withColumn("block", F.pmod("key", "n_blocks")).drop("s_source", "n_blocks")
+    rows = _with_copies(rows, mix.blocks, mix.picked)
+    kept = [f"c{i}" for i in range(len(docs.columns))]
+    rows = rows.select(*kept, "key", F.posexplode("shards").alias("copy", "shard"))
+    local = F.xxhash64(F.lit(seed + 2), "key", "copy")
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", local)
+    return rows.select(*[F.col(k).alias(name) for k, name in zip(kept, docs.columns)])

@@ -37,7 +37,7 @@ SHARP = 1024
 #: Fewer agreeing registers than this a pair at 0.8 shows with a probability of 3e-7.
 SHARP_DEVIATIONS = 5.0
 BLOCK_TEXTS = 128
-BLOCK_SKETCHES = 256
+BLOCK_SKETCHES = 1024
 CHUNK = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PRIME = 0x9E3779B97F4A7C15

@@ -60,7 +60,7 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def length_class(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int), 15)
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1, dtype=np.int64), 1)).astype(int), 15)
 
 
 def clustered(rows: np.ndarray, many: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def fit_centroids(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS
     """From ``(lang, counts)`` of labelled texts; order does not matter."""
     rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
     langs = sorted({lang for lang, _ in rows})
-    counts = np.array([c for _, c in rows]).reshape(len(rows), -1)
+    counts = np.array([c for _, c in rows], dtype=np.uint16).reshape(len(rows), -1)
     own = np.array([langs.index(lang) for lang, _ in rows], dtype=int)
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     vectors = weighted(counts, idf)
@@ -141,7 +141,7 @@ def fit_language_id(docs: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["lang", "counts"])
 
     sample = labelled.filter(order < share[F.col("lang")]).mapInArrow(counted, "lang string, counts binary").collect()
-    rows = [(r["lang"], np.frombuffer(bytes(r["counts"]), "<u2").astype(np.int64)) for r in sample]
+    rows = [(r["lang"], np.frombuffer(bytes(r["counts"]), "<u2")) for r in sample]
     return fit_centroids(rows) if rows else None
 
 

@@ -33,6 +33,7 @@ Scorer = Callable[[pa.Table], Callable[[pa.RecordBatch], np.ndarray]]
 
 # Pairs scored at a time; bounds the memory of a task to about 100 MB.
 BLOCK_PAIRS = 2_000_000
+TASKS_PER_CORE = 4
 
 
 @dataclass(frozen=True)
@@ -237,7 +238,9 @@ def topk_hits(
 
         if within:
             items = _prune_databases(items, table)
-        found = items.mapInArrow(scan, out)
+        # A task keeps k hits per query, so fewer tasks leave fewer to merge.
+        tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        found = items.coalesce(tasks).mapInArrow(scan, out)
     else:
         q_cells = max(1, ceil(max(size.rows / limits.cell_queries, size.bytes / limits.cell_bytes)))
         i_cells = max(1, ceil(item_bytes() / limits.cell_bytes))

@@ -75,6 +75,16 @@ def test_probabilities_sum_to_one():
     assert np.exp(language_model.log_softmax(model.weights, model.bias, slots)).sum(axis=1) == pytest.approx(np.ones(2), abs=1e-5)
 
 
+def test_classes_and_features_of_the_history():
+    assert language_model.CLASSES == 64
+    hashes = language_model.block_hashes([b"", b"one", b"two", b"three", b"four", b"bold"])
+    slots = lambda tokens: language_model.history_slots(*hashes, np.array(tokens), np.array([len(tokens)]))[-1]
+    assert len(slots([1, 2, 3, 4])) == language_model.FEATURES == 6
+    # the word three before counts, and so does the ending two before
+    assert (slots([1, 2, 3, 4]) != slots([5, 2, 3, 4])).sum() == 1
+    assert (slots([1, 2, 3, 4]) != slots([1, 5, 3, 4])).sum() == 3
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     slots = rng.integers(0, 50, size=(4000, 4)).astype(np.uint16)

@@ -2,14 +2,19 @@
 
 Outcomes are those of the unigram base: the words of the training texts, the end
 of a text, and unknown words. A token's probability is that of its class given
-the history, times that of the word given its class:
+the history, times that of its bin given class and history, times that of the
+word given its bin:
 
 - classes: frequent words have one of their own, all others share one by their
   ending; the class follows a softmax over hashed features of the history
   (words, word pairs, endings, and words skipped over), trained by gradient
   updates made in parallel and averaged by Spark between rounds;
-- a word in its class: counts over all training tokens, discounted by what
-  Good-Turing leaves to unknown words of that class.
+- bins of a class: its frequent words have one of their own, all others share
+  one by their beginning; the bin follows a second softmax, over the same
+  features together with the class, trained alike;
+- a word that shares its bin: counts over all training tokens, discounted by what
+  Good-Turing leaves to unknown words. The vocabulary grows with the input and the
+  model does not, so this last factor knows no history.
 
 Texts are read once into blocks of token numbers with the words they use. Counts
 are joined by word to the distinct words of a block, never to single tokens, and
@@ -38,6 +43,16 @@ ENDINGS = 24
 CLASSES = HEAD + 1 + ENDINGS
 SLOTS = 1 << 13
 FEATURES = 6
+#: Bins of a class: words with one of their own, and bins that the others share.
+OWN = 48
+SHARED = 16
+BINS = OWN + SHARED
+#: The most frequent words, which get classes and bins of their own as far as these reach.
+FREQUENT = 4096
+#: Rows of weights: features of the class, then features of the bin.
+ROWS = 2 * SLOTS
+#: The second softmax has few tokens a feature: it steps by mean gradients, damped by some tokens.
+BIN_RATE, BIN_DAMPING, BIN_STEP_TOKENS = 2.0, 8.0, 2048
 ROUNDS = 2
 STEP_TOKENS = 8192
 RATE = 0.25
@@ -110,17 +125,34 @@ def ending_class(word: bytes) -> int:
     return HEAD + 1 + zlib.crc32(word[-2:]) % ENDINGS
 
 
+def shared_bin(word: bytes) -> int:
+    return OWN + zlib.crc32(word[:3]) % SHARED
+
+
 class Model:
-    """Weights and constants of the model; of fixed size, whatever the corpus."""
+    """Weights and constants of the model; of fixed size, whatever the corpus.
+
+    Tokens and types are counted by class and bin, or by class alone if no word
+    has a bin of its own: then all share the last bin.
+    """
 
-    def __init__(self, head: list[bytes], class_tokens: np.ndarray, class_once: np.ndarray, discount: float):
+    def __init__(self, head: list[bytes], tokens: np.ndarray, types: np.ndarray, discount: float, own: dict[bytes, int] | None = None):
         self.head = {w: i + 1 for i, w in enumerate(head)}
-        self.class_tokens = class_tokens
-        self.class_once = class_once
+        self.own = own or {}
+        self.tokens, self.types = np.zeros((CLASSES, BINS)), np.zeros((CLASSES, BINS))
+        at = slice(None) if np.ndim(tokens) == 2 else (slice(None), -1)
+        self.tokens[at], self.types[at] = tokens, types
         self.discount = discount
-        share = (class_tokens + 0.5) / (class_tokens + 0.5).sum()
-        self.weights = np.zeros((SLOTS, CLASSES), np.float32)
-        self.bias = np.log(share).astype(np.float32)
+        by_class = self.tokens.sum(axis=1) + 0.5
+        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        self.bias = np.log(by_class / by_class.sum()).astype(np.float32)
+        # bins of their own that no word has are no outcomes
+        some = np.where((self.types > 0) | (np.arange(BINS) >= OWN), self.tokens + 0.5, 1e-13)
+        self.bin_bias = np.log(some / some.sum(axis=1, keepdims=True)).astype(np.float32)
+        # what a bin leaves to unknown words
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = np.where(self.tokens > 0, discount * self.types / self.tokens, 1.0)
+        self.unknown = np.where(np.arange(BINS) < OWN, 0.0, left)
 
     def classes(self, words: list[bytes]) -> np.ndarray:
         """Class of each word of a block; the end of a text is class 0."""
@@ -128,6 +160,10 @@ class Model:
         out[0] = 0
         return np.array(out, np.int64)
 
+    def bins(self, words: list[bytes]) -> np.ndarray:
+        """Bin of each word of a block within its class."""
+        return np.array([self.own[w] if w in self.own else shared_bin(w) for w in words], np.int64)
+
 
 def _spread(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -174,37 +210,57 @@ def block_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _spread(one * _GOLD), _spread(two * _GOLD)
 
 
+def bin_slots(slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Rows of weights for the bin: each feature of the history with the class."""
+    mixed = (_spread((classes.astype(np.uint64) + np.uint64(1)) * _GOLD) % np.uint64(SLOTS)).astype(np.uint16)
+    return (slots ^ mixed[:, None]) + np.uint16(SLOTS)
+
+
 def log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    score = np.tile(bias, (len(slots), 1))
-    for k in range(slots.shape[1]):
+    score = weights[slots[:, 0]]
+    for k in range(1, slots.shape[1]):
         score += weights[slots[:, k]]
+    score += bias
     score -= score.max(axis=1, keepdims=True)
     score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
     return score
 
 
-def local_updates(model: Model, weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, goals: np.ndarray, power: np.ndarray) -> None:
-    """AdaGrad steps over the tokens of a block, in place. ``power`` sums squared gradients by slot."""
-    for start in range(0, len(goals), STEP_TOKENS):
-        part, goal = slots[start : start + STEP_TOKENS], goals[start : start + STEP_TOKENS]
-        gradient = np.exp(log_softmax(weights, bias, part))
+def local_updates(
+    model: Model, weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, goals: np.ndarray, power: np.ndarray, classes: np.ndarray | None = None
+) -> None:
+    """AdaGrad steps over the tokens of a block, in place. ``power`` sums squared gradients by slot.
+
+    With ``classes``, goals are bins, ``bias`` has a row for each class and stays
+    as it is, and ``power`` counts tokens by slot.
+    """
+    size = STEP_TOKENS if classes is None else BIN_STEP_TOKENS
+    for start in range(0, len(goals), size):
+        part, goal = slots[start : start + size], goals[start : start + size]
+        own = bias if classes is None else bias[classes[start : start + size]]
+        gradient = np.exp(log_softmax(weights, own, part))
         gradient[np.arange(len(goal)), goal] -= 1
-        bias -= RATE * 0.1 * gradient.mean(axis=0)
+        if classes is None:
+            bias -= RATE * 0.1 * gradient.mean(axis=0)
         for k in range(part.shape[1]):
             order = np.argsort(part[:, k], kind="stable")
             sorted_slots = part[order, k]
             first = np.flatnonzero(np.r_[True, sorted_slots[1:] != sorted_slots[:-1]])
             summed = np.add.reduceat(gradient[order], first, axis=0)
             hit = sorted_slots[first]
-            power[hit] += (summed**2).mean(axis=1)
-            weights[hit] -= (RATE / np.sqrt(power[hit] + 1.0))[:, None] * summed
+            if classes is None:
+                power[hit] += (summed**2).mean(axis=1)
+                weights[hit] -= (RATE / np.sqrt(power[hit] + 1.0))[:, None] * summed
+            else:
+                power[hit] += np.diff(np.r_[first, len(sorted_slots)])
+                weights[hit] -= (BIN_RATE / (power[hit] + BIN_DAMPING))[:, None] * summed
 
 
 def _trainer(shared, turn: int, rounds: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         weights, bias = model.weights.copy(), model.bias.copy()
-        power, seen, total = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float64), 0
+        power, seen, total = np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float64), 0
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column(0)[i].as_py() % rounds != turn:
@@ -212,14 +268,19 @@ def _trainer(shared, turn: int, rounds: int):
                 lengths = batch.column(2)[i].values.to_numpy()
                 tokens = np.frombuffer(zstandard.decompress(batch.column(3)[i].as_py()), "<i4")
                 words = batch.column(4)[i].as_py()
-                hashes, classes = block_hashes(words), model.classes(words)
+                hashes, classes, bins = block_hashes(words), model.classes(words), model.bins(words)
                 learn = ~np.array(batch.column(1)[i].as_py(), bool)
                 for part, of in chunks(tokens, lengths):
                     use = np.repeat(learn[of], lengths[of])
                     slots = history_slots(*hashes, tokens[part], lengths[of])[use]
-                    local_updates(model, weights, bias, slots, classes[tokens[part][use]], power)
-                    seen += np.bincount(slots.ravel(), minlength=SLOTS)
+                    goals = classes[tokens[part][use]]
+                    local_updates(model, weights, bias, slots, goals, power)
+                    seen += np.bincount(slots.ravel(), minlength=ROWS)
                     total += len(slots)
+                    inner = goals > HEAD
+                    slots = bin_slots(slots[inner], goals[inner])
+                    local_updates(model, weights, model.bin_bias, slots, bins[tokens[part][use][inner]], power, goals[inner])
+                    seen += np.bincount(slots.ravel(), minlength=ROWS)
         if total:
             moved = weights - model.weights
             slots = np.flatnonzero(seen)
@@ -283,36 +344,64 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
 def _start(counts: DataFrame) -> tuple[Model, int, int]:
     """An untrained model, the training tokens and the known words, from the counts."""
-    head = [bytes(r["word"]) for r in counts.filter(F.length("word") > 0).orderBy(F.col("c").desc(), "word").limit(HEAD).collect()]
-    own = F.create_map(*[v for i, w in enumerate([END, *head]) for v in (F.lit(w), F.lit(i))])
-    ending = F.crc32(F.when(F.length("word") > 2, F.expr("substring(word, length(word) - 1, 2)")).otherwise(F.col("word"))) % ENDINGS + HEAD + 1
-    classed = counts.withColumn("class", F.coalesce(F.try_element_at(own, F.col("word")), ending).cast("int"))
-    sums = classed.groupBy("class").agg(
+    words = counts.filter(F.length("word") > 0)
+    frequent = [(bytes(r["word"]), r["c"]) for r in words.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()]
+    tail = F.when(F.length("word") > 2, F.expr("substring(word, length(word) - 1, 2)")).otherwise(F.col("word"))
+    by_form = counts.withColumn("class", F.when(F.length("word") == 0, 0).otherwise(F.crc32(tail) % ENDINGS + HEAD + 1).cast("int"))
+    by_form = by_form.withColumn("bin", (F.crc32(F.expr("substring(word, 1, 3)")) % SHARED + OWN).cast("int"))
+    sums = by_form.groupBy("class", "bin").agg(
         F.sum("c").alias("tokens"), F.count("*").alias("types"),
         F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("twice"),
     ).collect()
-    tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    tokens, types = np.zeros((CLASSES, BINS)), np.zeros((CLASSES, BINS))
     for r in sums:
-        tokens[r["class"]], types[r["class"]] = r["tokens"], r["types"]
+        tokens[r["class"], r["bin"]], types[r["class"], r["bin"]] = r["tokens"], r["types"]
+    # frequent words move from where their form puts them to places of their own
+    head, own, used = [w for w, _ in frequent[:HEAD]], {}, np.zeros(CLASSES, int)
+    for i, (word, c) in enumerate(frequent):
+        cell = ending_class(word)
+        if i < HEAD:
+            place = i + 1, BINS - 1
+        elif used[cell] < OWN:
+            place = cell, used[cell]
+            own[word] = int(used[cell])
+            used[cell] += 1
+        else:
+            continue
+        for table, n in ((tokens, c), (types, 1)):
+            table[cell, shared_bin(word)] -= n
+            table[place] += n
     once, twice = sum(r["once"] for r in sums), sum(r["twice"] for r in sums)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    return Model(head, tokens, types, discount), int(tokens.sum()), int(types.sum())
+    return Model(head, tokens, types, discount, own), int(tokens.sum()), int(types.sum())
 
 
-def within_class(model: Model, classes: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log10 probability of each word in its class: discounted counts, the rest for unknown words.
+def within_class(model: Model, classes: np.ndarray, c: np.ndarray, bins: np.ndarray | int = BINS - 1) -> np.ndarray:
+    """log10 probability of each word in its bin: discounted counts, the rest for unknown words.
 
-    A frequent word is alone in its class; unknown words of a class without any
-    word have it to themselves.
+    A frequent word is alone in its class or bin; unknown words of a bin without
+    any word have it to themselves.
     """
-    tokens, types = model.class_tokens[classes], model.class_once[classes]
-    alone = classes <= HEAD
+    tokens = model.tokens[classes, bins]
+    alone = (classes <= HEAD) | (np.asarray(bins) < OWN)
     with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(c > 0, (c - model.discount) / tokens, model.discount * types / tokens)
-    p = np.where(tokens > 0, p, 1.0)
+        p = np.where(c > 0, (c - model.discount) / tokens, model.unknown[classes, bins])
     return np.where(alone, 0.0, np.log10(np.maximum(p, 1e-300)))
 
 
+def log_bins(model: Model, slots: np.ndarray, classes: np.ndarray, bins: np.ndarray, own: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """log10 probability of words given their class and history. ``own``: of each in its bin.
+
+    Unknown words are one outcome of their class: what all its bins leave.
+    """
+    found = log_softmax(model.weights, model.bin_bias[classes], bin_slots(slots, classes))
+    out = found[np.arange(len(found)), bins] / math.log(10) + own
+    new = np.flatnonzero(~known)
+    left = (np.exp(found[new]) * model.unknown[classes[new]]).sum(axis=1)
+    out[new] = np.log10(np.maximum(left, 1e-300))
+    return out
+
+
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, class_score double"
 )
@@ -328,22 +417,28 @@ def _scorer(shared, train_tokens: int, known_words: int):
                 words = batch.column(4)[i].as_py()
                 c, known = np.zeros(len(words)), batch.column(5)[i].values.to_numpy()
                 c[known >> PLACE_BITS] = known & ((1 << PLACE_BITS) - 1)
-                classes = model.classes(words)
+                classes, bins = model.classes(words), model.bins(words)
                 base = np.log10((c + 1) / (train_tokens + known_words + 1))
-                own = within_class(model, classes, c)
-                hashes, by_class = block_hashes(words), np.empty(len(tokens))
+                own = within_class(model, classes, c, bins)
+                hashes, by_class, inside = block_hashes(words), np.empty(len(tokens)), np.zeros(len(tokens))
                 for part, of in chunks(tokens, lengths):
-                    slots, goal, found = history_slots(*hashes, tokens[part], lengths[of]), classes[tokens[part]], by_class[part]
+                    slots, places, found = history_slots(*hashes, tokens[part], lengths[of]), tokens[part], by_class[part]
+                    goal = classes[places]
                     for start in range(0, len(goal), STEP_TOKENS):
                         step = slice(start, start + STEP_TOKENS)
                         chosen = log_softmax(model.weights, model.bias, slots[step])
                         found[step] = chosen[np.arange(len(chosen)), goal[step]] / math.log(10)
+                    inner = np.flatnonzero(goal > HEAD)
+                    for start in range(0, len(inner), STEP_TOKENS):
+                        step = inner[start : start + STEP_TOKENS]
+                        at = places[step]
+                        inside[part][step] = log_bins(model, slots[step], goal[step], bins[at], own[at], c[at] > 0)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 total = lambda values: np.add.reduceat(values, starts)
                 class_score = total(by_class)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(6)[i].values, batch.column(1)[i].values, pa.array(lengths, pa.int64()), pa.array(total((c > 0)[tokens].astype(np.int64)), pa.int64()),
-                     pa.array(np.full(len(lengths), train_tokens), pa.int64()), pa.array(total(base[tokens])), pa.array(class_score + total(own[tokens])), pa.array(class_score)],
+                     pa.array(np.full(len(lengths), train_tokens), pa.int64()), pa.array(total(base[tokens])), pa.array(class_score + total(inside)), pa.array(class_score)],
                     names=[f.split()[0] for f in SCORES.split(", ")],
                 )
 

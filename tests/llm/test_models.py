@@ -85,6 +85,31 @@ def test_classes_and_features_of_the_history():
     assert (slots([1, 2, 3, 4]) != slots([1, 5, 3, 4])).sum() == 3
 
 
+def test_words_of_a_class_follow_the_history(spark):
+    """Two words of one class, each after its own word: counts alone give either one half."""
+    pairs = [("north", "zarking"), ("south", "zolking")]
+    # other words, twice as frequent, take the classes of their own
+    rng, common = random.Random(4), [f"w{i}" for i in range(language_model.HEAD)]
+    rows = [(i, " ".join(w for _ in range(50) for w in (*common, *rng.choice(pairs))), "en", "s") for i in range(60)]
+    assert len({language_model.ending_class(b.encode()) for _, b in pairs}) == 1
+    got = [r for r in language_model.score_texts(documents(spark, rows)).collect() if r["held_out"]]
+    inside = sum(r["score"] - r["class_score"] for r in got) / (50 * len(got))
+    # north and south, and the word after them, cost a half each by counts; only the first is free of the history
+    assert inside > 1.5 * math.log10(0.5)
+
+
+def test_words_and_unknown_ones_of_a_class_sum_to_one():
+    tokens, types = np.zeros((2, language_model.CLASSES, language_model.BINS))
+    cell, shared = language_model.HEAD + 1, language_model.OWN + 2
+    tokens[cell, [0, 1, shared]], types[cell, [0, 1, shared]] = [9, 7, 6], [1, 1, 3]
+    model = language_model.Model([], tokens, types, 0.5, {b"aa": 0, b"bb": 1})
+    model.weights += np.random.default_rng(1).normal(size=model.weights.shape)
+    bins, c = np.array([0, 1, shared, shared, shared, shared]), np.array([9.0, 7.0, 3.0, 2.0, 1.0, 0.0])
+    classes, slots = np.full(6, cell), np.tile(np.arange(6, dtype=np.uint16), (6, 1))
+    own = language_model.within_class(model, classes, c, bins)
+    assert (10 ** language_model.log_bins(model, slots, classes, bins, own, c > 0)).sum() == pytest.approx(1, abs=1e-5)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     slots = rng.integers(0, 50, size=(4000, 4)).astype(np.uint16)

@@ -2,8 +2,8 @@
 
 Texts become normalised TF-IDF vectors of hashed byte n-grams; each language is
 described by several centroids, clustered on its own vectors; a text belongs to
-the language of the centroid of highest cosine. Texts farther from it than the
-language's own texts of like length ever are get rejected.
+the language of the centroid of highest cosine. Texts well farther from it than
+nearly all of the language's own texts of like length get rejected.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ ORDERS = (1, 2, 3)
 FIT_ROWS = 6000
 CENTROIDS = 4
 UNKNOWN = "und"
-#: Accepted: cosines of at least this share of the lowest among fitted texts of like length.
-SLACK = 0.6
+#: Accepted: cosines of at least this share of a low quantile among fitted texts of like length.
+SLACK = 0.8
+LOWEST = 0.01
+#: Fitted texts that make a floor; where a length has fewer, all languages are pooled.
+ENOUGH = 20
 PIECE = 1 << 20
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BATCH = 256
@@ -110,11 +113,26 @@ def fit_centroids(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS
     model = CentroidModel(langs, np.concatenate(centres).astype(np.float32), np.array(of), idf, np.zeros((len(langs), 16)))
     cosine = np.where(model.of[None, :] == own[:, None], vectors @ model.centres.T, -1).max(axis=1)
     sizes = length_class(counts)
+    pooled = np.full(16, np.nan)
+    for size in range(16):
+        near = (sizes >= size - 1) & (sizes <= size + 1)
+        if near.sum() >= ENOUGH:
+            pooled[size] = np.quantile(cosine[near], LOWEST)
+        for i in range(len(langs)):
+            like = cosine[near & (own == i)]
+            model.floor[i, size] = np.quantile(like, LOWEST) if len(like) >= ENOUGH else pooled[size]
     for i in range(len(langs)):
+        known = np.flatnonzero(~np.isnan(model.floor[i]))
+        if not len(known):
+            # too few texts of any length: the lowest of all of them
+            model.floor[i] = cosine.min()
+            continue
+        # longer texts than any seen are asked what the longest seen ones reach; of shorter
+        # ones, a share: the cosine of a text grows at most with the root of its n-grams
+        first = known[0]
         for size in range(16):
-            like = cosine[(own == i) & (sizes >= size - 1) & (sizes <= size + 1)]
-            # longer texts than any seen are asked what the longest seen ones reach
-            model.floor[i, size] = like.min() if len(like) >= 20 else model.floor[i, size - 1] if size else 0
+            if np.isnan(model.floor[i, size]):
+                model.floor[i, size] = model.floor[i, size - 1] if size > first else model.floor[i, first] * 2.0 ** ((size - first) / 2)
         # short texts hold few n-grams: never ask more of them than of longer ones
         model.floor[i] = np.minimum.accumulate(model.floor[i][::-1])[::-1]
     return model

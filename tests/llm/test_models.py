@@ -141,6 +141,16 @@ def test_language_id_held_out(spark):
     assert all(r["rejected"] for r in langid.identify(foreign, model).collect())
 
 
+def test_foreign_and_short_texts_are_rejected_and_own_short_ones_kept():
+    known = [(lang, langid.ngram_counts(text)) for _, text, lang, _ in corpus()]
+    model = langid.fit_centroids(known)
+    judge = lambda texts: model.predict(np.array([langid.ngram_counts(t) for t in texts]))[2]
+    foreign = ["Questa mattina siamo andati al mercato per comprare della frutta", "Bu sabah taze meyve almak icin pazara gittik", "aamulla kova ukkospilvi"]
+    assert judge([" ".join([t] * k) for t in foreign for k in (1, 2, 5)]).all()
+    assert judge([prose(i, 5) for i in range(50)]).mean() < 0.1
+    assert (model.floor > 0).all()
+
+
 def test_ngram_counts_of_whole_texts(monkeypatch):
     text = prose(3, 3000)
     whole = langid.ngram_counts(text)

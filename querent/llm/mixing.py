@@ -3,7 +3,7 @@
 Every source is cut into blocks by a hash of its rows, which also permutes it.
 A source with a target beyond its size gives whole copies first; the rest comes
 from its permuted blocks, and from single documents of the block that would
-overshoot. A splitting tree then divides the drawn blocks among output shards:
+overshoot and of those after it, until none left fits. A splitting tree then divides the drawn blocks among output shards:
 at each node the blocks of all sources are split between two halves of the
 shards by a multivariate hypergeometric draw, so each shard has an exact quota
 of blocks of every source. Blocks are drawn disjointly by quota and rows are
@@ -27,7 +27,6 @@ CAP = 3
 BLOCK_WORDS = 200_000
 SHARDS = 8
 SEED = 17
-FILL_ROUNDS = 6
 
 
 @dataclass(frozen=True)
@@ -102,6 +101,44 @@ def _literal_table(spark, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(text))
 
 
+def _filled(rows: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """``(source, block, key)`` of single units that fill what whole blocks leave open.
+
+    In each round, the units that fit into the gap of their source are taken in
+    the order of blocks and hashes as far as all of them fit. Every round takes
+    some; the last leaves no unit that fits. Sums by block are what a source is
+    ordered by, so no task holds all its units.
+    """
+    gaps = blocks.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("block_size"))), F.lit(0))).alias("left"))
+    gaps = stored(gaps.select(F.col("source").alias("g_source"), "left"), "mix-gaps")
+    later = blocks.filter(~F.col("fits")).select(F.col("source").alias("e_source"), F.col("block").alias("e_block"), "edge")
+    units = rows.join(later, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block")))
+    units = units.groupBy("source", "block", "key").agg(F.sum("size").alias("unit"), F.first("edge").alias("edge"))
+    # units without words come with their block
+    units = units.filter(F.col("edge") | (F.col("unit") > 0)).drop("edge")
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.col("block")), "block")
+    line = Window.partitionBy("source", "block").orderBy("key")
+    taken = None
+    while True:
+        fit = units.join(gaps, F.col("source").eqNullSafe(F.col("g_source"))).filter(F.col("unit") <= F.col("left"))
+        units = stored(fit.select("source", "block", "key", "unit"), "mix-units")
+        if units.isEmpty():
+            return units.select("source", "block", "key") if taken is None else taken.select("source", "block", "key")
+        sums = units.groupBy("source", "block").agg(F.sum("unit").alias("all")).withColumn("before", F.sum("all").over(order) - F.col("all"))
+        sums = sums.join(gaps, F.col("source").eqNullSafe(F.col("g_source"))).filter(F.col("before") <= F.col("left"))
+        sums = sums.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "before", "left")
+        now = units.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
+        now = now.filter(F.col("before") + F.col("unit") <= F.col("left")).withColumn("upto", F.col("before") + F.sum("unit").over(line))
+        now = stored(now.filter(F.col("upto") <= F.col("left")).select("source", "block", "key", "unit"), "mix-picked")
+        taken = now if taken is None else taken.unionByName(now)
+        sizes = now.groupBy(F.col("source").alias("n_source")).agg(F.sum("unit").alias("n"))
+        gaps = gaps.join(sizes, F.col("g_source").eqNullSafe(F.col("n_source")), "left")
+        gaps = stored(gaps.select("g_source", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")), "mix-gaps")
+        gone = now.select(F.col("source").alias("t_source"), F.col("block").alias("t_block"), F.col("key").alias("t_key"))
+        same = F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block")) & (F.col("key") == F.col("t_key"))
+        units = units.join(gone, same, "left_anti")
+
+
 def draw_mix(
     docs: DataFrame,
     weights=WEIGHTS,
@@ -140,24 +177,13 @@ def draw_mix(
     upto = F.sum("block_size").over(order)
     blocks = blocks.withColumn("upto", upto)
     blocks = blocks.withColumn("fits", F.col("upto") <= F.col("rest")).withColumn(
-        "partly", ~F.col("fits") & (F.col("upto") - F.col("block_size") <= F.col("rest"))
+        "edge", ~F.col("fits") & (F.col("upto") - F.col("block_size") <= F.col("rest"))
     )
-    blocks = stored(blocks.withColumn("gap", F.col("rest") - (F.col("upto") - F.col("block_size"))), "mix-blocks")
-
-    # single units of the one block that would overshoot, in hash order, skipping those too large
-    edge = blocks.filter("partly").select(F.col("source").alias("e_source"), F.col("block").alias("e_block"), "gap")
-    units = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block")))
-    units = units.groupBy("source", "block", "key").agg(F.sum("size").alias("unit"), F.first("gap").alias("gap"))
-    units = units.withColumn("picked", F.lit(False)).withColumn("left", F.col("gap"))
-    by_source = Window.partitionBy("source")
-    for _ in range(FILL_ROUNDS):
-        could = ~F.col("picked") & (F.col("unit") <= F.col("left"))
-        units = units.withColumn("could", could)
-        line = Window.partitionBy("source", "could").orderBy("key")
-        units = units.withColumn("picked", F.col("picked") | (F.col("could") & (F.sum("unit").over(line) <= F.col("left"))))
-        taken = F.coalesce(F.sum(F.when(F.col("picked"), F.col("unit"))).over(by_source), F.lit(0))
-        units = units.withColumn("left", F.col("gap") - taken)
-    picked = stored(units.filter("picked").select("source", "block", "key"), "mix-picked")
+    blocks = stored(blocks, "mix-blocks")
+    picked = _filled(rows, blocks, seed)
+    some = picked.select(F.col("source").alias("f_source"), F.col("block").alias("f_block")).distinct()
+    blocks = blocks.join(some, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("block") == F.col("f_block")), "left")
+    blocks = blocks.withColumn("partly", F.col("edge") | F.col("f_block").isNotNull()).drop("f_source", "f_block")
 
     # every drawn copy of a block is a unit of the splitting tree
     drawn = F.col("copies") + F.when(F.col("fits") | F.col("partly"), 1).otherwise(0)

@@ -49,6 +49,21 @@ def test_near_targets_and_whole_documents(spark):
         assert t - 40 <= taken[s] <= t
 
 
+def test_a_document_longer_than_a_block_leaves_no_gap(spark):
+    """Each source ends below its target by less than its smallest document left out."""
+    rows = [(i, prose(i, 20 + i % 60), "en", "ab"[i % 2]) for i in range(200)]
+    rows += [(1000, prose(1000, 3000), "en", "a"), (1001, prose(1001, 3000), "en", "b")]
+    source = {i: s for i, _, _, s in rows}
+    taken, target, skipped = collections.Counter(), {}, {}
+    for r in mixing.taken_words(mixing.draw_mix(documents(spark, rows), block_words=300, seed=1)).collect():
+        s = source[r["doc_id"]]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        if r["taken"] < r["size"] * (1 + r["target"] // r["source_size"]):
+            skipped[s] = min(skipped.get(s, r["size"]), r["size"])
+    assert all(target[s] - skipped[s] < taken[s] <= target[s] for s in target if s in skipped)
+
+
 def test_reruns_agree_whatever_the_partitions(spark):
     docs = documents(spark, corpus())
     key = lambda mix: sorted((r["doc_id"], r["taken"], tuple(r["shards"])) for r in mixing.taken_words(mix).collect())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import common, langid, language_model, mixing, near_dup, packing, quality_classifier, quality_rules, sharding, topk_search, toxicity
+from querent.llm import clustering, common, langid, language_model, mixing, near_dup, packing, quality_classifier, quality_rules, sharding, topk_search, toxicity
 from querent.sources.files import scan_parquet
 
 
@@ -78,6 +78,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_topk(items, items.filter(F.col("id") % 20 == 0), 20)
 
 
+def op11_ptolemaic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = clustering.kept_vectors(scan_parquet(spark, f"{sf_dir}/embeddings.parquet"))
+    made = clustering.cluster_report(vectors)
+    return made.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_ring_shards": op1_ring_shards,
     "op2_maxent_scores": op2_maxent_scores,
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mix": op9_source_mix,
     "op10_exact_topk": op10_exact_topk,
+    "op11_ptolemaic_kmeans": op11_ptolemaic_kmeans,
 }
 
 ORACLES = {
@@ -108,3 +115,56 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 }
+
+
+def _kmeans_sql(rounds: int = 3, k: int = 16) -> str:
+    """k-means in DuckDB SQL: one assignment and one update a round, then a last assignment."""
+
+    def assign(n: int) -> str:
+        return f"""a{n} AS (
+  SELECT vec_id, v, cluster, d FROM (
+    SELECT v.vec_id, v.v, c.cluster,
+           list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))::BIGINT AS d
+    FROM v, c{n} c
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, cluster) = 1
+)"""
+
+    def update(n: int) -> str:
+        return f"""s{n} AS (
+  SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{n}, range(1, 65) t(i) GROUP BY cluster, i
+), c{n + 1} AS (
+  SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY cluster
+  ) m USING (cluster)
+)"""
+
+    parts = [
+        """v AS (
+  SELECT DISTINCT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+)""",
+        f"""c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1)::INT AS cluster, v AS c
+  FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) <= {k}
+)""",
+    ]
+    for n in range(rounds):
+        parts += [assign(n), update(n)]
+    parts.append(assign(rounds))
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f""",
+by_cluster AS (
+  SELECT c.cluster, coalesce(sum(a.d), 0)::BIGINT AS cluster_inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+  FROM c{rounds} c LEFT JOIN a{rounds} a USING (cluster) GROUP BY c.cluster, c.c
+)
+SELECT a.vec_id, a.cluster, a.d AS distance, b.cluster_inertia, b.inertia, b.centroid_sha256
+FROM a{rounds} a JOIN (SELECT *, (sum(cluster_inertia) OVER ())::BIGINT AS inertia FROM by_cluster) b USING (cluster)
+"""
+    )
+
+
+ORACLES["op11_ptolemaic_kmeans"] = _kmeans_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import clustering, common, langid, language_model, mixing, near_dup, packing, quality_classifier, quality_rules, sharding, topk_search, toxicity
+from querent.llm import clustering, common, langid, language_model, mixing, near_dup, packing, quality_classifier, quality_rules, secrets, sharding, topk_search, toxicity
 from querent.sources.files import scan_parquet
 
 
@@ -84,6 +84,10 @@ def op11_ptolemaic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op12_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ring_shards": op1_ring_shards,
     "op2_maxent_scores": op2_maxent_scores,
@@ -96,6 +100,7 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_exact_topk": op10_exact_topk,
     "op11_ptolemaic_kmeans": op11_ptolemaic_kmeans,
+    "op12_owned_secrets": op12_owned_secrets,
 }
 
 ORACLES = {

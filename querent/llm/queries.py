@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querent.llm import clustering, common, langid, language_model, mixing, near_dup, packing, quality_classifier, quality_rules, secrets, sharding, topk_search, toxicity
+from querent.llm import clustering, common, hard_negatives, langid, language_model, mixing, near_dup, packing, quality_classifier, quality_rules, secrets, sharding, topk_search, toxicity
 from querent.sources.files import scan_parquet
 
 
@@ -88,6 +88,11 @@ def op12_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(common.documents(spark, sf_dir))
 
 
+def op13_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.mined_rows(scan_parquet(spark, f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mine_hard_negatives(rows)
+
+
 QUERIES = {
     "op1_ring_shards": op1_ring_shards,
     "op2_maxent_scores": op2_maxent_scores,
@@ -101,6 +106,7 @@ QUERIES = {
     "op10_exact_topk": op10_exact_topk,
     "op11_ptolemaic_kmeans": op11_ptolemaic_kmeans,
     "op12_owned_secrets": op12_owned_secrets,
+    "op13_segment_negatives": op13_segment_negatives,
 }
 
 ORACLES = {
@@ -173,3 +179,30 @@ FROM a{rounds} a JOIN (SELECT *, (sum(cluster_inertia) OVER ())::BIGINT AS inert
 
 
 ORACLES["op11_ptolemaic_kmeans"] = _kmeans_sql()
+
+ORACLES["op13_segment_negatives"] = """
+WITH r AS (
+  SELECT DISTINCT vec_id::BIGINT AS vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label,
+         list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM r a JOIN r c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v)
+  WHERE a.vec_id % 50 = 0
+), pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), neg AS (
+  SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+  FROM pos p JOIN pairs n ON n.anchor_id = p.anchor_id AND n.label <> n.anchor_label
+   AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INT AS rank
+  FROM neg
+) WHERE rank <= 3
+"""

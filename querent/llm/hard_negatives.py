@@ -39,8 +39,8 @@ NEGATIVES = 3
 #: A negative's score lies within LOW% and HIGH% of its positive's score.
 LOW, HIGH = 50, 95
 LEVELS = (4, 16)
-ANCHOR_BLOCK = 1024
-CANDIDATE_BLOCK = 4096
+ANCHOR_BLOCK = 256
+CANDIDATE_BLOCK = 2048
 #: Scores below this size are exact in doubles.
 EXACT = 2.0**52
 

@@ -15,6 +15,7 @@ from querent.operators.bm25 import Bm25Index, build_bm25_index
 from querent.operators.corpus import build_index_corpus, examples_for_split
 from querent.operators.dense import embed, read_vector_index, write_vector_index
 from querent.operators.metrics import align_methods
+from querent.operators.postings import Postings, build_postings
 from querent.plans.answering import as_questions
 from querent.session import new_run_dir
 from querent.sources.databases import register_tables
@@ -68,6 +69,11 @@ def documents_index(spark: SparkSession, sf_dir: str) -> Bm25Index:
     return build_bm25_index(documents_corpus(spark, sf_dir))
 
 
+@_once_per_application
+def documents_postings(spark: SparkSession, sf_dir: str) -> Postings:
+    return build_postings(documents_index(spark, sf_dir))
+
+
 @_once_per_application
 def examples_index(spark: SparkSession, sf_dir: str) -> Bm25Index:
     return build_bm25_index(build_index_corpus(train_examples(spark, sf_dir)))

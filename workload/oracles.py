@@ -401,6 +401,8 @@ ORACLES = {
     "bm25_topk": _bm25_topk(within=False, fill=False),
     "bm25_topk_in_db": _bm25_topk(within=True, fill=False),
     "bm25_topk_filled": _bm25_topk(within=True, fill=True),
+    "bm25_topk_postings": _bm25_topk(within=False, fill=False),
+    "bm25_topk_in_db_postings": _bm25_topk(within=True, fill=False),
     "hashed_embeddings": _with(
         CORPUS, _places("places", "item_id", "corpus"), select="SELECT * FROM places"
     ),

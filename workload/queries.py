@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querent.functions.text import extract_sql
 from querent.functions.vectors import l2_norm, normalize, squared_l2
-from querent.operators import bm25, context, corpus, dense, execution, generation, metrics, schema
+from querent.operators import bm25, context, corpus, dense, execution, generation, metrics, postings, schema
 from querent.plans import experiments
 from querent.plans.answering import bm25_hits, dense_hits, generate_sql
 from querent.session import new_run_dir
@@ -122,6 +122,21 @@ def bm25_topk_filled(spark, sf):
     return _bm25(spark, sf, within=True)
 
 
+def _pruned(spark, sf, within):
+    index, asked = inputs.documents_index(spark, sf), inputs.benchmark_queries(spark, sf)
+    found = inputs.documents_postings(spark, sf)
+    return _hits(postings.bm25_topk_pruned(index, found, asked, K, within=within), "score")
+
+
+def bm25_topk_postings(spark, sf):
+    """bm25_topk through inverted postings whose blocks are skipped by their maxima."""
+    return _pruned(spark, sf, within=False)
+
+
+def bm25_topk_in_db_postings(spark, sf):
+    return _pruned(spark, sf, within=True)
+
+
 # Vectors
 
 
@@ -513,6 +528,8 @@ QUERIES = {
         bm25_topk_global_filled,
         bm25_topk_in_db,
         bm25_topk_filled,
+        bm25_topk_postings,
+        bm25_topk_in_db_postings,
         hashed_embeddings,
         vector_norms,
         vector_distance,

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +83,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def text_words(data: bytes) -> np.ndarray:
     """Word hashes of one text of any length; long texts are cut between words."""
-    if len(data) <= 4 * CHUNK:
+    if len(data) <= CHUNK:
         return word_hashes(data)[0]
     parts, at = [], 0
     while at < len(data):
-        upto = at + 4 * CHUNK
+        upto = at + CHUNK
         while upto < len(data) and data[upto] not in b" \t\n\x0b\x0c\r":
             upto += 1
         parts.append(word_hashes(data[at:upto])[0])
@@ -255,8 +256,14 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, blocks: DataFrame, thresho
 
 def _sharp_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
+        lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < batch.num_rows:
+            # up to 256 texts, and no more than CHUNK bytes beyond the first
+            reach = np.cumsum(lengths[start : start + 256])
+            stop = start + max(1, int(np.searchsorted(reach, CHUNK, side="right")))
+            part = batch.slice(start, stop - start)
+            start = stop
             sets = [weighted_shingles(t.as_py()) for t in part.column(1)]
             owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
             keys = mixed(np.concatenate([k for k, _ in sets]) + np.uint64(_PRIME))

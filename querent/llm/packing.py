@@ -62,6 +62,17 @@ class ByteBpe:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+_LOADED: dict[tuple, ByteBpe] = {}
+
+
+def _loaded(files: tuple) -> ByteBpe:
+    """One tokenizer a worker process, whatever the number of its tasks."""
+    if files not in _LOADED:
+        _LOADED.clear()
+        _LOADED[files] = ByteBpe(*files)
+    return _LOADED[files]
+
+
 def default_tokenizer() -> tuple[str, str, str]:
     import public_tokenizers
 
@@ -80,7 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer=default_tokenizer, window: int = WIN
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(*tokenizer())
+        bpe = _loaded(tokenizer())
         end = np.array([END_ID], dtype="<u4")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

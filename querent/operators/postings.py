@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions.text import tokenize
+from querent.operators import bm25
 from querent.operators.bm25 import TIE_DECIMALS, Bm25Index, postings
 from querent.session import new_run_dir
 from querent.sources.files import require_sources
@@ -42,6 +43,8 @@ TERM_BUCKETS = 64
 TOP_BLOCKS = 2
 #: Words named in the scan's filter; more are joined.
 LITERAL_TERMS = 20_000
+#: Keys a database's pool of first documents is spread over.
+POOL_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -189,6 +192,11 @@ def bm25_topk_pruned(
         "item_id", "corpus_idx", F.col("db_id").alias("item_db_id"), "dl", "terms", "tfs"
     ).join(chosen.select("item_id").distinct(), "item_id", "left_semi")
     pairs = chosen.join(weights, "query_id").join(docs, "item_id")
+    return _ranked(_scored(pairs, one), k, decimals)
+
+
+def _scored(pairs: DataFrame, one) -> DataFrame:
+    """``score`` of every pair of query words ``q`` and a document's ``terms``, ``tfs`` and ``dl``."""
     dl = F.col("dl").cast("double")
 
     def contribution(acc: Column, qw: Column) -> Column:
@@ -196,7 +204,73 @@ def bm25_topk_pruned(
         tf = F.when(at > 0, F.element_at(F.col("tfs"), F.greatest(at, F.lit(1))).cast("double"))
         return acc + F.coalesce(qw["w"] * _impact(tf, dl, one.k1, one.b, one.avgdl), F.lit(0.0))
 
-    scored = pairs.withColumn("score", F.aggregate("q", F.lit(0.0), contribution))
+    return pairs.withColumn("score", F.aggregate(F.coalesce("q", F.array().cast("array<struct<term:string,w:double>>")), F.lit(0.0), contribution))
+
+
+def _ranked(scored: DataFrame, k: int, decimals: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", decimals)), "corpus_idx")
     ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "db_id", "rank", "item_id", "corpus_idx", "item_db_id", "score")
+
+
+def filler_pool(index: Bm25Index, k: int) -> DataFrame:
+    """``(pool_db, item_id, ...)``: the first k documents by corpus order of every
+    database (``pool_db`` its name) and of the whole corpus (``pool_db`` empty).
+
+    k rows a database: it grows with the number of databases, not with documents.
+    """
+    docs = index.docs.select("item_id", "corpus_idx", F.col("db_id").alias("item_db_id"), "dl", "terms", "tfs")
+    first = Window.partitionBy("item_db_id").orderBy("corpus_idx")
+    by_db = docs.filter(F.col("item_db_id").isNotNull()).withColumn("r", F.row_number().over(first))
+    by_db = by_db.filter(F.col("r") <= k).withColumn("pool_db", F.col("item_db_id"))
+    everywhere = docs.orderBy("corpus_idx").limit(k).withColumn("pool_db", F.lit(""))
+    return by_db.drop("r").unionByName(everywhere)
+
+
+def bm25_topk_filled(
+    index: Bm25Index,
+    found: Postings,
+    queries: DataFrame,
+    k: int,
+    within: bool = False,
+    decimals: int = TIE_DECIMALS,
+) -> DataFrame:
+    """``bm25_topk(..., fill=True)`` from the postings and a pool of first documents.
+
+    Every query gets k documents (fewer only where its database has fewer):
+    those sharing a word rank by score, the rest score zero and follow corpus
+    order. With no negative query weight, a document of score zero among the k
+    best is among the first k of its database (or of the corpus), since all
+    documents before it rank before it; so the k best that share a word
+    (``bm25_topk_pruned``) and the pool, scored exactly, hold the whole answer.
+    A query with a negative weight (idf of a word in most documents, floored
+    below zero) may rank a document below unmatched ones further down, so such
+    queries take the exact scan, ``bm25_topk``, instead.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    one = index.stats.first()
+    asked = _asked(index, queries)
+    signs = asked.groupBy("query_id").agg((F.min("w") < 0).alias("negative"))
+    db_id = F.col("db_id") if "db_id" in queries.columns else F.lit(None).cast("string")
+    plain = queries.select("query_id", db_id.alias("db_id"), "text").join(signs, "query_id", "left")
+    safe = plain.filter(~F.coalesce("negative", F.lit(False))).drop("negative")
+    rest = plain.filter(F.coalesce("negative", F.lit(False))).drop("negative")
+
+    matched = bm25_topk_pruned(index, found, safe, k, within=within, decimals=decimals)
+    weights = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("q"))
+    pool_db = F.coalesce(F.col("db_id"), F.lit("")) if within else F.lit("")
+    # The pool of a database is copied to POOL_SALTS keys and queries take one by
+    # their id, so a database asked by a third of the queries is no hot key.
+    salted = filler_pool(index, k).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(POOL_SALTS - 1))))
+    salt = F.pmod(F.xxhash64("query_id"), F.lit(POOL_SALTS)).cast("int")
+    pooled = (
+        safe.select("query_id", "db_id", pool_db.alias("pool_db"), salt.alias("salt"))
+        .join(salted, ["pool_db", "salt"])
+        .join(weights, "query_id", "left")
+    )
+    pooled = _scored(pooled, one).join(matched.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    columns = ["query_id", "db_id", "item_id", "corpus_idx", "item_db_id", "score"]
+    filled = _ranked(matched.select(*columns).unionByName(pooled.select(*columns)), k, decimals)
+    exact = bm25.bm25_topk(index, rest, k, within=within, fill=True, decimals=decimals)
+    return filled.unionByName(exact.select(*filled.columns))

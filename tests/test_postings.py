@@ -64,3 +64,30 @@ def test_empty_queries_and_corpus(spark):
     index = bm25.build_bm25_index(make(spark, ["a b"], ["x"]))
     made = postings.build_postings(index)
     assert postings.bm25_topk_pruned(index, made, ask(spark, []), 3).count() == 0
+
+
+def test_filled_equals_the_formula(spark):
+    docs, dbs = corpus(4, n=90)
+    rng = random.Random(5)
+    queries = [(rng.choice(["a", "b", "c", None]), " ".join(rng.choices(WORDS, k=rng.randint(1, 5)))) for _ in range(10)]
+    queries += [("a", "nothing known"), (None, ""), ("zz", "w1")]
+    index = bm25.build_bm25_index(make(spark, docs, dbs))
+    made = postings.build_postings(index)
+    for within in (False, True):
+        for k in (1, 4, 30):
+            hits = postings.bm25_topk_filled(index, made, ask(spark, queries), k, within=within)
+            want = model_topk(docs, dbs, queries, k, within, fill=True)
+            assert found(hits) == {q: h for q, h in want.items() if h}
+
+
+def test_filled_with_negative_weights_takes_the_scan(spark):
+    # every word in nearly every document: idf below zero, floored below zero
+    docs = ["x y", "y x", "x y", "x", "y x", "x y"] * 4
+    dbs = ["a", "b"] * 12
+    queries = [("a", "x"), (None, "x y"), ("b", "q")]
+    index = bm25.build_bm25_index(make(spark, docs, dbs))
+    made = postings.build_postings(index)
+    asked = ask(spark, queries)
+    for within in (False, True):
+        plain = bm25.bm25_topk(index, asked, 5, within=within, fill=True)
+        assert found(postings.bm25_topk_filled(index, made, asked, 5, within=within)) == found(plain)

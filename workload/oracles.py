@@ -92,10 +92,11 @@ BM25 = f"""lengths AS (SELECT item_id, corpus_idx, db_id, len({_tokens('text')})
 tf AS (SELECT item_id, term, count(*) tf
     FROM (SELECT item_id, unnest({_tokens('text')}) term FROM corpus) GROUP BY ALL),
 st AS (SELECT count(*) n, sum(dl) n_tokens, avg(dl) avgdl FROM lengths),
-df AS (SELECT term, count(*) df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) idf0
+df AS MATERIALIZED (SELECT term, count(*) df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) idf0
     FROM tf, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM df) ELSE idf0 END idf
-    FROM df)"""
+mean_idf AS MATERIALIZED (SELECT avg(idf0) mean FROM df),
+idf AS (SELECT term, df, CASE WHEN idf0 < 0 THEN 0.25 * mean ELSE idf0 END idf
+    FROM df CROSS JOIN mean_idf)"""
 SCORES = (
     BM25
     + f""",
@@ -403,6 +404,8 @@ ORACLES = {
     "bm25_topk_filled": _bm25_topk(within=True, fill=True),
     "bm25_topk_postings": _bm25_topk(within=False, fill=False),
     "bm25_topk_in_db_postings": _bm25_topk(within=True, fill=False),
+    "bm25_topk_global_filled_postings": _bm25_topk(within=False, fill=True),
+    "bm25_topk_filled_postings": _bm25_topk(within=True, fill=True),
     "hashed_embeddings": _with(
         CORPUS, _places("places", "item_id", "corpus"), select="SELECT * FROM places"
     ),

@@ -137,6 +137,21 @@ def bm25_topk_in_db_postings(spark, sf):
     return _pruned(spark, sf, within=True)
 
 
+def _filled(spark, sf, within):
+    index, asked = inputs.documents_index(spark, sf), inputs.benchmark_queries(spark, sf)
+    found = inputs.documents_postings(spark, sf)
+    return _hits(postings.bm25_topk_filled(index, found, asked, K, within=within), "score")
+
+
+def bm25_topk_global_filled_postings(spark, sf):
+    """bm25_topk_global_filled from the postings and the pool of first documents."""
+    return _filled(spark, sf, within=False)
+
+
+def bm25_topk_filled_postings(spark, sf):
+    return _filled(spark, sf, within=True)
+
+
 # Vectors
 
 
@@ -530,6 +545,8 @@ QUERIES = {
         bm25_topk_filled,
         bm25_topk_postings,
         bm25_topk_in_db_postings,
+        bm25_topk_global_filled_postings,
+        bm25_topk_filled_postings,
         hashed_embeddings,
         vector_norms,
         vector_distance,

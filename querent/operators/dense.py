@@ -174,12 +174,13 @@ def vector_topk_sweep(
 ) -> DataFrame:
     """``vector_topk(within=True)`` for every k of ``ks``, from one scoring pass."""
     hits = _nearest(index, queries, overfetch * max(ks), False, limits)
-    per_k = hits.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     anywhere = F.coalesce("db_id", F.lit("")) == ""
+    # Own hits are numbered once; for each k they are those fetched whose number
+    # is at most k (the number grows with the rank, so it equals a count per k).
+    own = hits.filter(anywhere | (F.col("db_id") == F.col("item_db_id")))
+    own = own.withColumn("own", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("bigint"))
+    own = own.filter(F.col("own") <= max(ks))
+    per_k = own.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     fetched = F.when(anywhere, F.col("k")).otherwise(F.col("k") * overfetch)
-    own = per_k.filter(
-        (F.col("rank") <= fetched) & (anywhere | (F.col("db_id") == F.col("item_db_id")))
-    )
-    again = Window.partitionBy("query_id", "k").orderBy("rank")
-    ranked = own.withColumn("rank", F.row_number().over(again).cast("bigint"))
-    return add_similarity(ranked.filter(F.col("rank") <= F.col("k")))
+    kept = per_k.filter((F.col("rank") <= fetched) & (F.col("own") <= F.col("k")))
+    return add_similarity(kept.withColumn("rank", F.col("own")).drop("own"))

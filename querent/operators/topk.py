@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -242,11 +243,17 @@ def topk_hits(
         tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
         found = items.coalesce(tasks).mapInArrow(scan, out)
     else:
-        q_cells = max(1, ceil(max(size.rows / limits.cell_queries, size.bytes / limits.cell_bytes)))
+        cell = _cell_function(scorer, k, within, decimals, arrow_out)
+        anywhere = F.coalesce(F.col("db_id"), F.lit("")) == ""
+        everywhere = queries.filter(anywhere) if within else queries
+        q_rows = everywhere.count() if within else size.rows
+        q_cells = max(1, ceil(max(q_rows / limits.cell_queries, q_rows * size.bytes / max(size.rows, 1) / limits.cell_bytes)))
         i_cells = max(1, ceil(item_bytes() / limits.cell_bytes))
-        found = _grid(items, queries, q_cells, i_cells).applyInArrow(
-            _cell_function(scorer, k, within, decimals, arrow_out), out
-        )
+        parts = [_grid(items, everywhere, q_cells, i_cells).applyInArrow(cell, out)] if q_rows or not within else []
+        if within:
+            dealt = _grid_by_database(items, queries.filter(~anywhere), size, item_bytes(), limits)
+            parts.append(dealt.applyInArrow(cell, out))
+        found = reduce(DataFrame.unionByName, parts)
     best_first = Window.partitionBy("query_id").orderBy(F.desc("tied"), "corpus_idx")
     ranked = found.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
     return ranked.filter(F.col("rank") <= k).select(
@@ -286,6 +293,44 @@ def _grid(items: DataFrame, queries: DataFrame, q_cells: int, i_cells: int):
     )
 
 
+def plan_database_cells(items: DataFrame, queries: DataFrame, size: QuerySize, total_bytes: int, limits: Limits) -> DataFrame:
+    """``(db_id, q_cells, i_cells)`` for every database that queries ask for.
+
+    A database's items take its share of the item bytes, its queries their
+    share of the query bytes; each side is cut into as many cells as its bound
+    asks for, so a database of 90 % of the items is split as the whole corpus
+    would be, and a small one is one cell. Databases nobody asks for get none.
+    """
+    n_items = items.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_items"))
+    n_queries = queries.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_queries"))
+    every = n_items.agg(F.sum("n_items")).first()[0] or 1
+    per_item, per_query = total_bytes / every, size.bytes / max(size.rows, 1)
+    q_cells = F.greatest(
+        F.ceil(F.col("n_queries") / limits.cell_queries), F.ceil(F.col("n_queries") * per_query / limits.cell_bytes), F.lit(1)
+    )
+    i_cells = F.greatest(F.ceil(F.col("n_items") * per_item / limits.cell_bytes), F.lit(1))
+    return n_queries.join(n_items, "db_id").select("db_id", q_cells.cast("int").alias("q_cells"), i_cells.cast("int").alias("i_cells"))
+
+
+def _grid_by_database(items: DataFrame, queries: DataFrame, size: QuerySize, total_bytes: int, limits: Limits):
+    """Cells within databases: a query meets only the items of its own database.
+
+    Scored pairs are those of one database, not all queries times all items;
+    the plan has one row a database asked for.
+    """
+    plan = plan_database_cells(items, queries, size, total_bytes, limits)
+
+    def dealt(df: DataFrame, key: str, own: str, own_cells: str, other: str, other_cells: str):
+        cell = F.pmod(F.xxhash64(key), F.col(own_cells)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.col(other_cells) - 1))
+        placed = df.join(plan, "db_id").withColumn(own, cell).withColumn(other, copies)
+        return placed.drop("q_cells", "i_cells").groupBy("db_id", "q_cell", "i_cell")
+
+    return dealt(items, "item_id", "i_cell", "i_cells", "q_cell", "q_cells").cogroup(
+        dealt(queries, "query_id", "q_cell", "q_cells", "i_cell", "i_cells")
+    )
+
+
 def _arrow_type(data_type: T.DataType) -> pa.DataType:
     types = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
     if data_type not in types:

@@ -163,3 +163,13 @@ def test_the_last_published_index_is_read(spark, tmp_path):
     bm25.build_bm25_index(make(spark, ["a b"], ["x"]), path)
     again = bm25.build_bm25_index(make(spark, ["a b", "c"], ["x", None]), path)
     assert again.stats.first().n_docs == 2 and bm25.read_bm25_index(spark, path).docs.count() == 2
+
+
+def test_grid_cells_follow_databases(spark):
+    from querent.operators.topk import QuerySize, plan_database_cells
+
+    rows = [(i, i, "big" if i < 90 else f"s{i % 3}", "x") for i in range(100)]
+    items = spark.createDataFrame(rows, "item_id long, corpus_idx long, db_id string, text string")
+    queries = spark.createDataFrame([(0, "big"), (1, "s0"), (2, "big")], "query_id long, db_id string")
+    plan = {r.db_id: (r.q_cells, r.i_cells) for r in plan_database_cells(items, queries, QuerySize(3, 300), 100_000, Limits(cell_bytes=10_000)).collect()}
+    assert plan == {"big": (1, 9), "s0": (1, 1)}  # the big database is split, s1 and s2 nobody asks for

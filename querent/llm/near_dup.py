@@ -17,7 +17,6 @@ reach it.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,9 +182,8 @@ def _sketched(bands: int, rows: int):
                 held = registers(owner, np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets]).astype(float), len(sets), bands * rows)
                 hashes = band_hashes(held, bands, rows)
                 lists = [h.tolist() if len(k) else [] for h, (k, _) in zip(hashes, sets)]
-                digest = [hashlib.blake2b(data, digest_size=16).digest() if texts[at + i].is_valid else None for i, data in enumerate(group)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, stop - at), pa.array(digest, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"]
+                    [ids.slice(at, stop - at), batch.column(2).slice(at, stop - at), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"]
                 )
                 at = stop
 
@@ -194,10 +192,15 @@ def _sketched(bands: int, rows: int):
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, digest, bands)`` of every whole text; no digest for null, no bands without words."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest(F.col("text")).alias("digest"))
     return texts.mapInArrow(_sketched(bands, rows), "doc_id long, digest binary, bands array<long>")
 
 
+def text_digest(text):
+    """SHA-256 of the UTF-8 text, in Spark, so texts can be found again by it; null for null."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of one key (the first column) at a time, from a partition sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -376,13 +379,8 @@ def _roots(current: DataFrame, links: DataFrame) -> DataFrame:
         ends = ends.select(F.coalesce("root_to", "root").alias("root_a"), F.coalesce("to_to", "to").alias("root_b"))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
-    """``(doc_id, class_id, text_id)``, one row for every row of ``docs`` (doc_id, text).
-
-    ``text_id`` is the least id with an equal text, ``class_id`` the least id of
-    the class. Texts without words are alike only if equal; null texts are each
-    alone; a null id is classed, but never gives its name to a class with others.
-    Repeated rows stay.
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """``near_duplicate_classes`` with ``digest``, ``class_node`` and ``text_node``.
 
     Equal texts are folded first. Within a band's bucket every text is compared
     with the least id; that makes no more pairs than texts. Texts that share a
@@ -391,9 +389,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     """
     prints = stored(sketches(docs, bands, band_rows), "sketches")
     texts = prints.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    equal = stored(texts.groupBy("digest").agg(F.min("doc_id").alias("text_id")), "equal-texts")
-    first = texts.join(equal, (F.col("doc_id") == F.col("text_id")) & texts["digest"].eqNullSafe(equal["digest"])).select("text_id", "bands", texts["digest"])
-    first = first.groupBy("text_id").agg(F.min_by("bands", "digest").alias("bands"))
+    equal = texts.groupBy("digest").agg(F.min("doc_id").alias("text_id"))
+    # A node is a distinct text, numbered once and stored; one id with two texts
+    # makes two nodes. Classes are named by the least id of their texts at the end.
+    equal = stored(equal.select("digest", "text_id", F.monotonically_increasing_id().alias("node")), "equal-texts")
+    first = texts.join(equal, (F.col("doc_id") == F.col("text_id")) & texts["digest"].eqNullSafe(equal["digest"])).select("node", "bands")
+    first = first.groupBy(F.col("node").alias("text_id")).agg(F.first("bands").alias("bands"))
     members = stored(first.select(F.posexplode("bands").alias("band", "bucket"), F.col("text_id").alias("member")), "band-rows")
     least = members.groupBy("bucket").agg(F.min("member").alias("least"), F.count("*").alias("n")).filter("n > 1")
     shared = stored(members.join(least.select("bucket", "least"), "bucket"), "band-shared")
@@ -404,8 +405,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     sizes = nodes.groupBy("least").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
     blocks = nodes.join(sizes, "least").select("node", F.xxhash64("least", F.pmod(F.hash("node"), F.col("blocks"))).alias("block"))
     blocks = stored(blocks, "near-blocks")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    own = own.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("row_id"), "text", text_digest(F.col("text")).alias("digest"))
+    own = own.join(equal, "digest").filter(F.col("row_id") == F.col("text_id"))
+    own = own.join(nodes, "node", "left_semi").groupBy(F.col("node").alias("doc_id")).agg(F.first("text").alias("text"))
     own = stored(own, "near-texts")
 
     pairs = nodes.filter("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -420,23 +422,54 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
         more = stored(similar_pairs(likely, own, blocks, threshold), "near-links")
         roots = _roots(roots, more)
 
-    class_of = roots.withColumnsRenamed({"node": "text_id", "root": "class_id"})
-    classed = prints.join(equal, "digest", "left").join(class_of, "text_id", "left")
+    # classes are named by the least id of their texts, negative nodes included
+    class_of = roots.join(equal.select("node", "text_id"), "node")
+    names = class_of.groupBy("root").agg(F.min("text_id").alias("class_id"))
+    class_of = class_of.join(names, "root").select("node", "class_id", F.col("root").alias("class_node"))
+    classed = prints.join(equal, "digest", "left").join(class_of, "node", "left")
     text_id = F.coalesce("text_id", "doc_id")
-    return classed.select("doc_id", F.coalesce("class_id", text_id).alias("class_id"), text_id.alias("text_id"))
+    return classed.select(
+        "doc_id",
+        F.coalesce("class_id", text_id).alias("class_id"),
+        text_id.alias("text_id"),
+        "digest",
+        F.coalesce("class_node", "node").alias("class_node"),
+        F.col("node").alias("text_node"),
+    )
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """``(doc_id, class_id, text_id)``, one row for every row of ``docs`` (doc_id, text).
+
+    ``text_id`` is the least id with an equal text, ``class_id`` the least id of
+    the class's texts. One id with two different texts gives two texts, each
+    classed by its own links; both may carry the same ``class_id``. Texts without
+    words are alike only if equal; null texts are each alone; a null id is
+    classed, but never gives its name to a class with others. Repeated rows stay.
+    """
+    return _classes(docs, threshold, bands, band_rows).select("doc_id", "class_id", "text_id")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one of the least id, with all its columns.
+    """One document of each class, one of its least id, with all its columns.
 
-    Documents without an id are kept: nothing names them. Of rows that repeat the
-    kept id one stays.
+    A class keeps one row: of its least id, the text of least node. One id with
+    two texts in different classes keeps both. Documents without an id are kept:
+    nothing names them; documents with a null text are each alone, one row an id.
+    Of rows that repeat the kept row one stays.
     """
-    classes = near_duplicate_classes(docs, threshold)
-    firsts = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    key, often = fresh(docs, "first_id"), fresh(docs, "first_n")
-    firsts = stored(firsts.select(F.col("doc_id").alias(key), F.col("n").alias(often)), "near-firsts")
-    same = F.col("doc_id").cast("long") == F.col(key)
-    once = docs.join(firsts.filter(F.col(often) == 1), same, "left_semi")
-    repeated = docs.join(firsts.filter(F.col(often) > 1), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col("doc_id").isNull()))
+    classes = _classes(docs, threshold)
+    head = classes.filter((F.col("doc_id") == F.col("class_id")) & F.col("digest").isNotNull())
+    best = head.groupBy("class_node").agg(F.min(F.struct("text_node", "doc_id", "digest")).alias("r")).select("r.doc_id", "r.digest")
+    counts = classes.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    key, print_, often = fresh(docs, "first_id"), fresh(docs, "first_digest"), fresh(docs, "first_n")
+    firsts = best.join(counts, ["doc_id", "digest"]).select(F.col("doc_id").alias(key), F.col("digest").alias(print_), F.col("n").alias(often))
+    firsts = stored(firsts, "near-firsts")
+    digest = fresh(docs, "row_digest")
+    marked = docs.withColumn(digest, text_digest(F.col("text")))
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.col(digest) == F.col(print_))
+    once = marked.join(firsts.filter(F.col(often) == 1), same, "left_semi")
+    repeated = marked.join(firsts.filter(F.col(often) > 1), same, "left_semi").dropDuplicates(["doc_id", digest])
+    empty = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNull()).dropDuplicates(["doc_id"])
+    kept = once.unionByName(repeated).drop(digest)
+    return kept.unionByName(empty).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -126,3 +126,16 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 29)] + [(33, 31)], "a long, b long")
     roots = {r["node"]: r["root"] for r in near_dup._roots(nodes, links).collect()}
     assert all(roots[i] == 0 for i in range(30)) and roots[33] == 31 and roots[35] == 35
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = prose(801, 80), prose(802, 80)
+    rows = [(1, a, "en", "a"), (1, b, "en", "a"), (2, edited(b, 1, 1), "en", "a"), (3, edited(b, 2, 1), "en", "a"), (4, prose(803, 80), "en", "a")]
+    docs = documents(spark, rows)
+    got = sorted((r["doc_id"], r["class_id"], r["text_id"]) for r in near_dup.near_duplicate_classes(docs).collect())
+    # B's links to 2 and 3 stay; A is alone but carries the same name
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 4, 4)]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dup.keep_one_of_each(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (4, rows[4][1])])  # A has no copy and stays
+    again = near_dup.keep_one_of_each(documents(spark, rows + [rows[1], rows[0]]))
+    assert sorted((r["doc_id"], r["text"]) for r in again.collect()) == kept

@@ -405,9 +405,11 @@ def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     sizes = nodes.groupBy("least").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
     blocks = nodes.join(sizes, "least").select("node", F.xxhash64("least", F.pmod(F.hash("node"), F.col("blocks"))).alias("block"))
     blocks = stored(blocks, "near-blocks")
+    # texts of the nodes, found by id and digest together, so copies of a hot text spread
+    wanted = equal.join(nodes, "node", "left_semi").withColumnRenamed("digest", "node_digest")
     own = docs.select(F.col("doc_id").cast("long").alias("row_id"), "text", text_digest(F.col("text")).alias("digest"))
-    own = own.join(equal, "digest").filter(F.col("row_id") == F.col("text_id"))
-    own = own.join(nodes, "node", "left_semi").groupBy(F.col("node").alias("doc_id")).agg(F.first("text").alias("text"))
+    own = own.join(wanted, (F.col("row_id") == F.col("text_id")) & (F.col("digest") == F.col("node_digest")))
+    own = own.groupBy(F.col("node").alias("doc_id")).agg(F.first("text").alias("text"))
     own = stored(own, "near-texts")
 
     pairs = nodes.filter("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))

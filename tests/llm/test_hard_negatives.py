@@ -85,6 +85,27 @@ def test_odd_rows(spark):
     assert got == brute(rows)
 
 
+def test_rows_of_one_id(spark):
+    """One id with two labels or two vectors: anchors and positives of their own."""
+    rng = random.Random(6)
+    v = lambda: [rng.uniform(0, 1) for _ in range(8)]
+    rows = [(i, v(), i % 3, "x", "y", "z") for i in range(1, 80) if i % 50]
+    rows += [(i, v(), lab, "x", "y", "z") for i, *_ in rows[:30] for lab in (0, 1)]
+    anchor, other = v(), v()
+    rows += [(50, anchor, 0, "x", "y", "z"), (50, anchor, 1, "x", "y", "z"), (50, other, 1, "x", "y", "z")]
+    got = made(spark, rows)
+    assert got and got == brute(rows)
+
+
+def test_scores_beyond_exact_doubles(spark):
+    """Scores that differ only below the precision of a double keep their order."""
+    rows = [(0, [2.0**18, 1 / 256], 0, "x", "y", "z")]
+    rows += [(i, [2.0**22, i / 256], 1, "x", "y", "z") for i in range(1, 7)]
+    rows += [(i, [3 * 2.0**20, (i % 10) / 256], 2, "x", "y", "z") for i in range(101, 109) if i % 7]
+    got = made(spark, rows)
+    assert got and got == brute(rows)
+
+
 def test_empty_table(spark):
     assert made(spark, []) == []
 

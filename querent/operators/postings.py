@@ -3,11 +3,13 @@
 The postings of a word hold each document's impact, tf (k1 + 1) / (tf + k1 (1 -
 b + b dl / avgdl)), so a document's score is the sum of query weight times
 impact over the query's words. Postings are cut into blocks by impact (``BINS``
-equal bins of the range (0, k1 + 1)); ``maxima`` keeps the largest impact of
-every block. Blocks are dealt by a fixed rule, not ranked within a word, so a
-word found in a third of the corpus is no hot key. The files are partitioned by
-a hash of the word and sorted by word and block, so a search reads only the
-folders of the words it asks for, and the scan's word filter skips row groups.
+equal bins of the range (0, k1 + 1)). They are stored as short lists, one for
+each word, block and database of about ``LIST_WORDS`` postings that a task
+inverts at a time, with the largest impact of the list beside it: no row a
+posting is ever shuffled, and a word found in a third of the corpus is no hot
+key. The files are partitioned by a hash of the word and sorted by word and
+block, so a search reads only the folders of the words it asks for, and the
+scan's word filter skips row groups.
 
 A search (all query weights positive; otherwise that query keeps every block):
 
@@ -18,77 +20,150 @@ A search (all query weights positive; otherwise that query keeps every block):
    the sum over words of the largest skipped bound stays below ``theta`` less a
    margin wider than the rounding of ties: a document found only in skipped
    blocks scores below ``theta`` and cannot be in the top k, so only the kept
-   blocks name candidates, and skipped ones never enter the join;
-3. candidates are scored exactly from the forward index, and ranked as the
-   plain scan ranks: score rounded to ``decimals`` first, then corpus order.
+   blocks name candidates, and the lists of skipped ones are not unfolded;
+3. the documents that any query's kept blocks name are scored exactly from the
+   forward index by the scorer of the plain scan, and ranked as it ranks: score
+   rounded to ``decimals`` first, then corpus order. Pairs of query and document
+   are rows for the top blocks only.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querent.functions.text import tokenize
 from querent.operators import bm25
-from querent.operators.bm25 import TIE_DECIMALS, Bm25Index, postings
-from querent.session import new_run_dir
+from querent.operators.bm25 import TIE_DECIMALS, Bm25Index, word_pieces
+from querent.operators.topk import TASKS_PER_CORE
+from querent.session import new_run_dir, stored
 from querent.sources.files import require_sources
 
 BINS = 32
 TERM_BUCKETS = 64
+#: Postings a task inverts at a time; bounds its memory.
+LIST_WORDS = 1 << 19
 #: Blocks below the top one that also set theta.
 TOP_BLOCKS = 2
 #: Words named in the scan's filter; more are joined.
 LITERAL_TERMS = 20_000
-#: Keys a database's pool of first documents is spread over.
-POOL_SALTS = 64
 
 
 @dataclass(frozen=True)
 class Postings:
-    """``rows(term_bucket, term, block, impact, item_id, corpus_idx, db_id)`` and
-    ``maxima(term, block, max_impact, n)``."""
-
-    rows: DataFrame
-    maxima: DataFrame
-
-
-def _impact(tf: Column, dl: Column, k1: float, b: float, avgdl: float) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl or 1.0)))
+    """``lists(term_bucket, term, block, db_id, max_impact, items, impacts)`` and
+    ``repeated(item_id)``, the ids that several documents share."""
+
+    lists: DataFrame
+    repeated: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        """``(term_bucket, term, block, db_id, item_id, impact)``, one row a posting."""
+        return _unfolded(self.lists)
+
+    @property
+    def maxima(self) -> DataFrame:
+        """``(term, block, max_impact, n)``"""
+        return _maxima(self.lists)
+
+
+def _unfolded(lists: DataFrame, *more: str) -> DataFrame:
+    pairs = F.explode(F.arrays_zip("items", "impacts")).alias("p")
+    names = ["term_bucket", "term", "block", "db_id", *more]
+    return lists.select(*names, pairs).select(*names, F.col("p.items").alias("item_id"), F.col("p.impacts").alias("impact"))
+
+
+def _maxima(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("term", "block").agg(F.max("max_impact").alias("max_impact"), F.sum(F.size("items")).alias("n"))
+
+
+def _inverted(k1: float, b: float, avgdl: float):
+    """From documents ``(item_id, db_id, dl, terms, tfs)`` to lists of postings."""
+
+    def lists_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = pa.Table.from_batches(held).combine_chunks()
+        terms = docs["terms"].combine_chunks()
+        flat, doc = terms.flatten(), bm25._rows_of(terms)
+        if not len(flat):
+            return
+        words = pc.unique(flat)
+        code = pc.index_in(flat, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
+        tf = docs["tfs"].combine_chunks().flatten().to_numpy().astype(np.float64)
+        dl = docs["dl"].to_numpy().astype(np.float64)[doc]
+        impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (avgdl or 1.0)))
+        block = np.clip(np.floor(impact / ((k1 + 1) / BINS)), 0, BINS - 1).astype(np.int64)
+        names = docs["db_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        db = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+        key = (code * BINS + block) * len(names.dictionary) + db
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        offsets = pa.array(np.r_[first, len(order)], pa.int32())
+        chosen = order[first]
+        batch = pa.RecordBatch.from_arrays(
+            [
+                words.take(pa.array(code[chosen])),
+                pa.array(block[chosen], pa.int32()),
+                names.dictionary.take(pa.array(db[chosen])),
+                pa.array(np.maximum.reduceat(impact[order], first)),
+                pa.ListArray.from_arrays(offsets, docs["item_id"].combine_chunks().take(pa.array(doc[order]))),
+                pa.ListArray.from_arrays(offsets, pa.array(impact[order])),
+            ],
+            names=["term", "block", "db_id", "max_impact", "items", "impacts"],
+        )
+        yield from (batch.slice(i, 1 << 16) for i in range(0, batch.num_rows, 1 << 16))
+
+    def invert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for piece in word_pieces(batches, LIST_WORDS // 4, "terms"):
+            held.append(piece)
+            size += len(piece.column("terms").flatten())
+            if size >= LIST_WORDS:
+                yield from lists_of(held)
+                held, size = [], 0
+        if held:
+            yield from lists_of(held)
+
+    return invert
 
 
 def write_postings(index: Bm25Index, path: str) -> None:
-    """Write the postings of ``index`` and their block maxima below ``path``."""
+    """Write the postings of ``index`` and the ids that come twice below ``path``.
+
+    Every task writes what it inverts, without a shuffle; the tasks are a fixed
+    number a core, so files stay few.
+    """
     one = index.stats.first()
-    ranked = index.docs.select("item_id", "corpus_idx")
-    rows = postings(index).join(ranked, "item_id").select(
-        F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int").alias("term_bucket"),
-        "term",
-        "item_id",
-        "corpus_idx",
-        "db_id",
-        _impact(F.col("tf").cast("double"), F.col("dl").cast("double"), one.k1, one.b, one.avgdl).alias("impact"),
-    )
-    width = (one.k1 + 1) / BINS
-    rows = rows.withColumn("block", F.least(F.floor(F.col("impact") / width), F.lit(BINS - 1)).cast("int"))
+    spark = index.docs.sparkSession
+    docs = index.docs.filter(F.col("item_id").isNotNull()).select("item_id", "db_id", F.col("dl").cast("bigint").alias("dl"), "terms", "tfs")
+    item_type = docs.schema["item_id"].dataType.simpleString()
+    schema = f"term string, block int, db_id string, max_impact double, items array<{item_type}>, impacts array<double>"
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
     (
-        rows.hint("rebalance", "term_bucket")
-        .sortWithinPartitions("term", F.desc("block"))
+        docs.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+        .mapInArrow(_inverted(one.k1, one.b, one.avgdl), schema)
+        .withColumn("term_bucket", bucket)
+        .sortWithinPartitions("term_bucket", "term", F.desc("block"))
         .write.partitionBy("term_bucket")
-        .parquet(f"{path}/rows")
-    )
-    stored = index.docs.sparkSession.read.parquet(f"{path}/rows")
-    stored.groupBy("term", "block").agg(F.max("impact").alias("max_impact"), F.count("*").alias("n")).write.parquet(
-        f"{path}/maxima"
+        .parquet(f"{path}/lists")
     )
+    repeated = docs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item_id")
+    repeated.write.parquet(f"{path}/repeated")
 
 
 def read_postings(spark: SparkSession, path: str) -> Postings:
-    require_sources(spark, [f"{path}/rows", f"{path}/maxima"])
-    return Postings(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/maxima"))
+    require_sources(spark, [f"{path}/lists", f"{path}/repeated"])
+    repeated = spark.read.parquet(f"{path}/repeated")
+    item_type = repeated.schema["item_id"].dataType.simpleString()
+    schema = f"term string, block int, db_id string, max_impact double, items array<{item_type}>, impacts array<double>, term_bucket int"
+    return Postings(spark.read.schema(schema).parquet(f"{path}/lists"), repeated)
 
 
 def build_postings(index: Bm25Index, path: str | None = None) -> Postings:
@@ -107,8 +182,8 @@ def _asked(index: Bm25Index, queries: DataFrame) -> DataFrame:
     return counted.join(index.terms, "term").select("query_id", "db_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
 
 
-def _asked_rows(found: Postings, asked: DataFrame) -> DataFrame:
-    """The postings of the words asked for.
+def _asked_lists(found: Postings, asked: DataFrame) -> DataFrame:
+    """The lists of the words asked for.
 
     Up to ``LITERAL_TERMS`` words (counted first) are named in the filter, so that
     only their folders are listed and the scan's statistics skip row groups of
@@ -116,23 +191,30 @@ def _asked_rows(found: Postings, asked: DataFrame) -> DataFrame:
     """
     words = asked.select("term").distinct()
     if words.count() <= LITERAL_TERMS:
-        names = [r["term"] for r in words.collect()]
-        buckets = sorted({r["b"] for r in words.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).alias("b")).collect()})
-        return found.rows.filter(F.col("term_bucket").isin(buckets) & F.col("term").isin(names))
-    return found.rows.join(words, "term", "left_semi")
+        named = words.select("term", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int").alias("b")).collect()
+        names, buckets = [r["term"] for r in named], sorted({r["b"] for r in named})
+        return found.lists.filter(F.col("term_bucket").isin(buckets) & F.col("term").isin(names))
+    return found.lists.join(words, "term", "left_semi")
+
+
+def _asked_rows(found: Postings, asked: DataFrame) -> DataFrame:
+    """The postings of the words asked for, one row each."""
+    return _unfolded(_asked_lists(found, asked))
 
 
 def candidates(found: Postings, asked: DataFrame, k: int, within: bool, decimals: int) -> DataFrame:
-    """``(query_id, db_id, item_id)``: every document that may be among a query's k best."""
-    rows = _asked_rows(found, asked)
-    own = (F.coalesce(F.col("db_id"), F.lit("")) == "") | (F.col("db_id") == F.col("item_db_id"))
-    top = found.maxima.groupBy("term").agg(F.max("block").alias("top"), F.max("max_impact").alias("m"))
-    asked = asked.join(top, "term")
-
-    # 1. theta from the top blocks: partial scores never exceed whole ones
-    first = asked.join(rows.withColumnRenamed("db_id", "item_db_id"), "term").filter(
-        (F.col("block") >= F.col("top") - (TOP_BLOCKS - 1)) & (own if within else F.lit(True))
-    )
+    """``(item_id)``: every document that may be among the k best of a query."""
+    lists = _asked_lists(found, asked)
+    maxima = stored(_maxima(lists).select("term", "block", "max_impact"), "postings-maxima")
+    named = lists.withColumnRenamed("db_id", "item_db_id")
+    own = (F.coalesce(F.col("db_id"), F.lit("")) == "") | (F.col("db_id") == F.col("item_db_id")) if within else F.lit(True)
+    top = maxima.groupBy("term").agg(F.max("block").alias("top"))
+
+    # 1. theta from the top blocks: partial scores never exceed whole ones. An id
+    # of several documents would add up their scores, so it sets no theta.
+    high = asked.join(top, "term").withColumn("block", F.explode(F.sequence(F.col("top") - (TOP_BLOCKS - 1), F.col("top"))))
+    first = high.select("query_id", "db_id", "term", "w", "block").join(named, ["term", "block"]).filter(own)
+    first = _unfolded(first, "query_id", "w").join(found.repeated, "item_id", "left_anti")
     partial = first.groupBy("query_id", "item_id").agg(F.sum(F.col("w") * F.col("impact")).alias("partial"))
     best = Window.partitionBy("query_id").orderBy(F.desc("partial"))
     theta = (
@@ -147,7 +229,7 @@ def candidates(found: Postings, asked: DataFrame, k: int, within: bool, decimals
     # rounding of ties; a document only in skipped blocks scores below theta
     margin = 10.0 ** -(decimals - 1)
     cells = (
-        asked.join(found.maxima, "term")
+        asked.join(maxima, "term")
         .withColumn("bound", F.col("w") * F.col("max_impact"))
         .join(weights, "query_id")
         .join(theta, "query_id", "left")
@@ -158,11 +240,24 @@ def candidates(found: Postings, asked: DataFrame, k: int, within: bool, decimals
     skipped = cells.withColumn("rise", rise).withColumn("reach", F.sum("rise").over(by_bound))
     budget = F.col("theta") * (1 - 1e-9) - margin
     skip = (F.col("least_w") > 0) & budget.isNotNull() & (F.col("reach") < budget)
-    read = skipped.filter(~F.coalesce(skip, F.lit(False))).select("query_id", "db_id", "term", "block")
-    kept = read.join(rows.withColumnRenamed("db_id", "item_db_id"), ["term", "block"]).filter(
-        own if within else F.lit(True)
-    )
-    return kept.select("query_id", "db_id", "item_id").distinct()
+    read = skipped.filter(~F.coalesce(skip, F.lit(False)))
+
+    # a list that several queries keep is unfolded once
+    whose = F.coalesce(F.col("db_id"), F.lit("")) if within else F.lit("")
+    read = stored(read.select("term", "block", whose.alias("whose")).distinct(), "postings-read")
+    everywhere = read.filter("whose = ''").select("term", "block")
+    inside = read.filter("whose <> ''").join(everywhere, ["term", "block"], "left_anti")
+    kept = lists.join(everywhere, ["term", "block"], "left_semi").select("items")
+    if within:
+        of_db = inside.withColumnRenamed("whose", "db_id")
+        kept = kept.unionByName(lists.join(of_db, ["term", "block", "db_id"], "left_semi").select("items"))
+    return kept.select(F.explode("items").alias("item_id")).distinct()
+
+
+def _restricted(index: Bm25Index, chosen: DataFrame) -> Bm25Index:
+    """The index with the documents of the ``chosen`` ids alone, and those without an id, which have no postings."""
+    kept = index.docs.join(stored(chosen, "postings-chosen"), "item_id", "left_semi").select(*index.docs.columns)
+    return replace(index, docs=kept.unionByName(index.docs.filter(F.col("item_id").isNull())))
 
 
 def bm25_topk_pruned(
@@ -182,49 +277,20 @@ def bm25_topk_pruned(
     """
     if k < 1:
         raise ValueError("k must be positive")
-    one = index.stats.first()
-    asked = _asked(index, queries).cache()
+    asked = stored(_asked(index, queries), "postings-asked")
     chosen = candidates(found, asked, k, within, decimals)
-    weights = asked.groupBy("query_id").agg(
-        F.collect_list(F.struct("term", "w")).alias("q")
-    )
-    docs = index.docs.select(
-        "item_id", "corpus_idx", F.col("db_id").alias("item_db_id"), "dl", "terms", "tfs"
-    ).join(chosen.select("item_id").distinct(), "item_id", "left_semi")
-    pairs = chosen.join(weights, "query_id").join(docs, "item_id")
-    return _ranked(_scored(pairs, one), k, decimals)
-
-
-def _scored(pairs: DataFrame, one) -> DataFrame:
-    """``score`` of every pair of query words ``q`` and a document's ``terms``, ``tfs`` and ``dl``."""
-    dl = F.col("dl").cast("double")
-
-    def contribution(acc: Column, qw: Column) -> Column:
-        at = F.array_position(F.col("terms"), qw["term"]).cast("int")
-        tf = F.when(at > 0, F.element_at(F.col("tfs"), F.greatest(at, F.lit(1))).cast("double"))
-        return acc + F.coalesce(qw["w"] * _impact(tf, dl, one.k1, one.b, one.avgdl), F.lit(0.0))
-
-    return pairs.withColumn("score", F.aggregate(F.coalesce("q", F.array().cast("array<struct<term:string,w:double>>")), F.lit(0.0), contribution))
-
-
-def _ranked(scored: DataFrame, k: int, decimals: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", decimals)), "corpus_idx")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "db_id", "rank", "item_id", "corpus_idx", "item_db_id", "score")
+    return bm25.bm25_topk(_restricted(index, chosen), queries, k, within=within, fill=False, decimals=decimals)
 
 
 def filler_pool(index: Bm25Index, k: int) -> DataFrame:
-    """``(pool_db, item_id, ...)``: the first k documents by corpus order of every
-    database (``pool_db`` its name) and of the whole corpus (``pool_db`` empty).
+    """``(item_id)``: the first k documents by corpus order of every database and of the whole corpus.
 
     k rows a database: it grows with the number of databases, not with documents.
     """
-    docs = index.docs.select("item_id", "corpus_idx", F.col("db_id").alias("item_db_id"), "dl", "terms", "tfs")
-    first = Window.partitionBy("item_db_id").orderBy("corpus_idx")
-    by_db = docs.filter(F.col("item_db_id").isNotNull()).withColumn("r", F.row_number().over(first))
-    by_db = by_db.filter(F.col("r") <= k).withColumn("pool_db", F.col("item_db_id"))
-    everywhere = docs.orderBy("corpus_idx").limit(k).withColumn("pool_db", F.lit(""))
-    return by_db.drop("r").unionByName(everywhere)
+    docs = index.docs.select("item_id", "corpus_idx", "db_id")
+    first = Window.partitionBy("db_id").orderBy("corpus_idx")
+    by_db = docs.filter(F.col("db_id").isNotNull()).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)
+    return by_db.select("item_id").unionByName(docs.orderBy("corpus_idx").limit(k).select("item_id"))
 
 
 def bm25_topk_filled(
@@ -241,36 +307,25 @@ def bm25_topk_filled(
     those sharing a word rank by score, the rest score zero and follow corpus
     order. With no negative query weight, a document of score zero among the k
     best is among the first k of its database (or of the corpus), since all
-    documents before it rank before it; so the k best that share a word
-    (``bm25_topk_pruned``) and the pool, scored exactly, hold the whole answer.
-    A query with a negative weight (idf of a word in most documents, floored
-    below zero) may rank a document below unmatched ones further down, so such
-    queries take the exact scan, ``bm25_topk``, instead.
+    documents before it rank before it; so the documents that the kept blocks
+    name and the pool, scored exactly, hold the whole answer. A query with a
+    negative weight (idf of a word in most documents, floored below zero) may
+    rank a document below unmatched ones further down, so such queries take the
+    exact scan, ``bm25_topk``, instead.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    one = index.stats.first()
-    asked = _asked(index, queries)
+    asked = stored(_asked(index, queries), "postings-asked")
     signs = asked.groupBy("query_id").agg((F.min("w") < 0).alias("negative"))
     db_id = F.col("db_id") if "db_id" in queries.columns else F.lit(None).cast("string")
     plain = queries.select("query_id", db_id.alias("db_id"), "text").join(signs, "query_id", "left")
-    safe = plain.filter(~F.coalesce("negative", F.lit(False))).drop("negative")
-    rest = plain.filter(F.coalesce("negative", F.lit(False))).drop("negative")
-
-    matched = bm25_topk_pruned(index, found, safe, k, within=within, decimals=decimals)
-    weights = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("q"))
-    pool_db = F.coalesce(F.col("db_id"), F.lit("")) if within else F.lit("")
-    # The pool of a database is copied to POOL_SALTS keys and queries take one by
-    # their id, so a database asked by a third of the queries is no hot key.
-    salted = filler_pool(index, k).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(POOL_SALTS - 1))))
-    salt = F.pmod(F.xxhash64("query_id"), F.lit(POOL_SALTS)).cast("int")
-    pooled = (
-        safe.select("query_id", "db_id", pool_db.alias("pool_db"), salt.alias("salt"))
-        .join(salted, ["pool_db", "salt"])
-        .join(weights, "query_id", "left")
-    )
-    pooled = _scored(pooled, one).join(matched.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-    columns = ["query_id", "db_id", "item_id", "corpus_idx", "item_db_id", "score"]
-    filled = _ranked(matched.select(*columns).unionByName(pooled.select(*columns)), k, decimals)
+    plain = stored(plain.withColumn("negative", F.coalesce("negative", F.lit(False))), "postings-queries")
+    safe, rest = (plain.filter(F.col("negative") == sign).drop("negative") for sign in (False, True))
+
+    wanted = asked.join(signs.filter("not negative"), "query_id", "left_semi")
+    chosen = candidates(found, wanted, k, within, decimals).unionByName(filler_pool(index, k)).distinct()
+    filled = bm25.bm25_topk(_restricted(index, chosen), safe, k, within=within, fill=True, decimals=decimals)
+    if rest.isEmpty():
+        return filled
     exact = bm25.bm25_topk(index, rest, k, within=within, fill=True, decimals=decimals)
     return filled.unionByName(exact.select(*filled.columns))

@@ -9,8 +9,8 @@ probability of their probability Jaccard similarity
     J = sum over common d of 1 / sum over d' of max(a[d'] / a[d], b[d'] / b[d]).
 
 Registers are banded. Texts that share a band are candidates: each is compared
-exactly with the least text of its buckets; candidates whose classes still differ
-then meet in bounded blocks, by more registers first and exactly if those leave
+exactly with the text of its buckets that meets most others; candidates whose
+classes still differ then meet in bounded blocks, by more registers first and exactly if those leave
 room for the threshold. Classes are the connected components of the pairs that
 reach it.
 """
@@ -318,6 +318,21 @@ def _sifted(threshold: float, nearest: bool):
     return sift
 
 
+def _centres(shared: DataFrame) -> DataFrame:
+    """``(node, centre)``: of the texts that a text shares buckets with, the one that meets most texts.
+
+    ``shared`` is (bucket, member, n), n the members of the bucket. Copies that were
+    changed each in its own way are nearer to what they were made from than to each
+    other, and that text meets more of them than any copy does: compared with it
+    they join one class, and no pairs between copies are left to compare.
+    """
+    meets = shared.groupBy("member").agg(F.sum("n").alias("meets"))
+    most = F.max(F.struct("meets", (-F.col("member")).alias("least"))).alias("most")
+    heads = shared.join(meets, "member").groupBy("bucket").agg(most).select("bucket", "most.*")
+    centres = shared.select("bucket", "member").join(heads, "bucket").groupBy("member")
+    return centres.agg(F.max(F.struct("meets", "least")).alias("most")).select(F.col("member").alias("node"), (-F.col("most.least")).alias("centre"))
+
+
 def _several(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that hold several classes, with the number of blocks of the bucket."""
     rooted = shared.join(roots.withColumnRenamed("node", "member"), "member").select("bucket", "band", "member", "root")
@@ -382,8 +397,8 @@ def _roots(current: DataFrame, links: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """``near_duplicate_classes`` with ``digest``, ``class_node`` and ``text_node``.
 
-    Equal texts are folded first. Within a band's bucket every text is compared
-    with the least id; that makes no more pairs than texts. Texts that share a
+    Equal texts are folded first. Every text is compared with one text of its
+    buckets, see ``_centres``; that makes no more pairs than texts. Texts that share a
     bucket although their classes differ then meet in blocks, see ``_across``:
     once for the nearest partner of each, then for all that is left.
     """
@@ -396,14 +411,13 @@ def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     first = texts.join(equal, (F.col("doc_id") == F.col("text_id")) & texts["digest"].eqNullSafe(equal["digest"])).select("node", "bands")
     first = first.groupBy(F.col("node").alias("text_id")).agg(F.first("bands").alias("bands"))
     members = stored(first.select(F.posexplode("bands").alias("band", "bucket"), F.col("text_id").alias("member")), "band-rows")
-    least = members.groupBy("bucket").agg(F.min("member").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    shared = stored(members.join(least.select("bucket", "least"), "bucket"), "band-shared")
-    favourite = shared.groupBy("member").agg(F.min("least").alias("least"))
-    nodes = stored(favourite.select(F.col("member").alias("node"), "least"), "near-nodes")
-
-    # texts with the same least partner lie in the same blocks
-    sizes = nodes.groupBy("least").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
-    blocks = nodes.join(sizes, "least").select("node", F.xxhash64("least", F.pmod(F.hash("node"), F.col("blocks"))).alias("block"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(members.join(sizes, "bucket"), "band-shared")
+    nodes = stored(_centres(shared), "near-nodes")
+
+    # texts with the same centre lie in the same blocks
+    sizes = nodes.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    blocks = nodes.join(sizes, "centre").select("node", F.xxhash64("centre", F.pmod(F.hash("node"), F.col("blocks"))).alias("block"))
     blocks = stored(blocks, "near-blocks")
     # texts of the nodes, found by id and digest together, so copies of a hot text spread
     wanted = equal.join(nodes, "node", "left_semi").withColumnRenamed("digest", "node_digest")
@@ -412,7 +426,7 @@ def _classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     own = own.groupBy(F.col("node").alias("doc_id")).agg(F.first("text").alias("text"))
     own = stored(own, "near-texts")
 
-    pairs = nodes.filter("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = nodes.filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = stored(similar_pairs(pairs, own, blocks, threshold), "near-links")
     roots = _roots(nodes.select("node", F.col("node").alias("root")), links)
     # the nearest partners first: they join most classes, and few pairs are left between them

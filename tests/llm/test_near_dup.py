@@ -139,3 +139,28 @@ def test_one_id_with_two_texts(spark):
     assert kept == sorted([(1, a), (1, b), (4, rows[4][1])])  # A has no copy and stays
     again = near_dup.keep_one_of_each(documents(spark, rows + [rows[1], rows[0]]))
     assert sorted((r["doc_id"], r["text"]) for r in again.collect()) == kept
+
+
+def test_copies_of_one_text_need_no_pairs_among_them(spark, monkeypatch):
+    """Each copy is near to the first text, not to other copies: compared with it, they leave no pairs of copies."""
+    rng = random.Random(12)
+    first = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(100, " ".join(first), "en", "a")]
+    for i in range(40):
+        words = list(first)
+        for at in range(rng.randrange(80), 400, 80):
+            words[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(words), "en", "a"))
+    pairs = []
+
+    def counted(df, purpose):
+        made = stored(df, purpose)
+        if purpose == "near-likely":
+            pairs.append(made.count())
+        return made
+
+    stored = near_dup.stored
+    monkeypatch.setattr(near_dup, "stored", counted)
+    classes = near_dup.near_duplicate_classes(documents(spark, rows)).collect()
+    assert {r.class_id for r in classes} == {0} and len(classes) == 41
+    assert sum(pairs) == 0

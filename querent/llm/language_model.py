@@ -27,6 +27,7 @@ import hashlib
 import math
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,12 +58,18 @@ ROUNDS = 2
 STEP_TOKENS = 8192
 RATE = 0.25
 BLOCK_BYTES = 8 << 20
+#: Tokens whose exponents are made at a time; exponents below which none goes out of range.
+NEAR_TOKENS, SAFE = 512, 60.0
+#: Slots with so many tokens that no more than this have as many are summed one by one.
+FEW_SLOTS = 16
 #: Tokens whose features are held at a time; texts are not split.
 CHUNK_TOKENS = 1 << 16
 #: A count and the place of its word in a block share one long; blocks hold under 2**21 words.
 PLACE_BITS = 42
 END = b""
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: What crc32 does with one more byte.
+_CRC = np.array([zlib.crc32(bytes([255 ^ i])) ^ 0xFF000000 for i in range(256)], np.uint32)
 BLOCK = (
     "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, "
     "words array<binary>, trained array<int>"
@@ -102,20 +109,27 @@ def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = [block, ids, held, lengths, zstandard.compress(raw, 1), list(place), trained.tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-    place: dict[bytes, int] = {END: 0}
+    def numbering() -> dict[bytes, int]:
+        """Gives a word that it does not hold the next number."""
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        numbers[END] = 0
+        return numbers
+
+    place = numbering()
     ids, held, parts, size = [], [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = tokens_of(text.as_py())
-            numbers = [place.setdefault(w, len(place)) for w in found]
-            numbers.append(0)
+            found.append(END)
+            numbers = np.fromiter(map(place.__getitem__, found), np.int32, len(found))
             ids.append(doc_id)
             held.append(held_out(doc_id))
-            parts.append(np.array(numbers, np.int32))
+            parts.append(numbers)
             size += 6 * len(numbers)
             if size >= BLOCK_BYTES:
                 yield flush()
-                place = {END: 0}
+                place = numbering()
                 ids, held, parts, size = [], [], [], 0
     if ids:
         yield flush()
@@ -154,15 +168,47 @@ class Model:
             left = np.where(self.tokens > 0, discount * self.types / self.tokens, 1.0)
         self.unknown = np.where(np.arange(BINS) < OWN, 0.0, left)
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        """Class of each word of a block; the end of a text is class 0."""
-        out = [self.head.get(w) or ending_class(w) for w in words]
-        out[0] = 0
-        return np.array(out, np.int64)
-
-    def bins(self, words: list[bytes]) -> np.ndarray:
-        """Bin of each word of a block within its class."""
-        return np.array([self.own[w] if w in self.own else shared_bin(w) for w in words], np.int64)
+    def classes(self, words: list[bytes], tails: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Class of each word of a block, given the crc32 of its ending; the end of a text is class 0.
+
+        ``own``: places among which all words with a class of their own are.
+        """
+        return self._placed(words, HEAD + 1 + tails % ENDINGS, self.head, own, 0)
+
+    def bins(self, words: list[bytes], beginnings: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Bin of each word of a block within its class, given the crc32 of its beginning. ``own`` as for classes."""
+        return self._placed(words, OWN + beginnings % SHARED, self.own, own)
+
+    @staticmethod
+    def _placed(words: list[bytes], shared: np.ndarray, own: dict[bytes, int], among: np.ndarray | None, end: int | None = None) -> np.ndarray:
+        for i in range(len(words)) if among is None else among.tolist():
+            place = own.get(words[i])
+            if place is not None:
+                shared[i] = place
+        if end is not None:
+            shared[0] = end
+        return shared
+
+    def perhaps_own(self, crc: np.ndarray) -> np.ndarray:
+        """Places of the words, by their crc32, that may have a class or a bin of their own: all that have, and few others."""
+        some = np.zeros(1 << 16, bool)
+        some[np.array([zlib.crc32(w) & 0xFFFF for known in (self.head, self.own) for w in known], np.int64)] = True
+        return np.flatnonzero(some[crc & 0xFFFF])
+
+
+def crc32_of_parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """crc32 of the last two and of the first three bytes of each word, byte by byte for all at once."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    start, length = ends[:-1], np.diff(ends)
+    out = []
+    for first, size in ((np.maximum(length - 2, 0), np.minimum(length, 2)), (np.zeros_like(length), np.minimum(length, 3))):
+        crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+        for k in range(3):
+            some = np.flatnonzero(size > k)
+            crc[some] = _CRC[(crc[some] ^ data[(start + first)[some] + k]) & np.uint32(0xFF)] ^ (crc[some] >> np.uint32(8))
+        out.append((crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64))
+    return out[0], out[1]
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -190,7 +236,7 @@ def history_slots(word_hash: np.ndarray, ending_hash: np.ndarray, tokens: np.nda
     kinds = (w1 + np.uint64(1), w1 * _GOLD + w2 + np.uint64(2), w2 + np.uint64(3), w3 + np.uint64(4), e1 + np.uint64(5), e1 * _GOLD + e2 + np.uint64(6))
     out = np.empty((len(tokens), FEATURES), np.uint16)
     for k, kind in enumerate(kinds):
-        out[:, k] = (_spread(kind * _GOLD + np.uint64(k)) >> np.uint64(20)) % np.uint64(SLOTS)
+        out[:, k] = (_spread(kind * _GOLD + np.uint64(k)) >> np.uint64(20)) & np.uint64(SLOTS - 1)
     return out
 
 
@@ -204,10 +250,22 @@ def chunks(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, sli
         first, start = last, int(ends[last - 1])
 
 
-def block_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    one = np.array([zlib.crc32(w) for w in words], np.uint64) + np.uint64(1)
-    two = np.array([zlib.crc32(w[-2:]) for w in words], np.uint64) + np.uint64(7)
-    return _spread(one * _GOLD), _spread(two * _GOLD)
+def block_hashes(words: list[bytes], tails: np.ndarray | None = None, crc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and of their endings, from the crc32 of the endings and of the words if these are known."""
+    if tails is None:
+        tails = crc32_of_parts(pa.array(words, pa.binary()))[0]
+    if crc is None:
+        crc = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    return _spread((crc.astype(np.uint64) + np.uint64(1)) * _GOLD), _spread((tails.astype(np.uint64) + np.uint64(7)) * _GOLD)
+
+
+def block_words(model: Model, column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes, classes and bins of the words of a block."""
+    words = column.to_numpy(zero_copy_only=False).tolist()
+    crc = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    tails, beginnings = crc32_of_parts(column)
+    own = model.perhaps_own(crc)
+    return block_hashes(words, tails, crc), model.classes(words, tails, own), model.bins(words, beginnings, own)
 
 
 def bin_slots(slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -216,16 +274,91 @@ def bin_slots(slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (slots ^ mixed[:, None]) + np.uint16(SLOTS)
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    score = weights[slots[:, 0]]
-    for k in range(1, slots.shape[1]):
-        score += weights[slots[:, k]]
-    score += bias
-    score -= score.max(axis=1, keepdims=True)
-    score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
+def raised(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, out: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """Exponents of the softmax of some tokens into ``out``; those of a token may differ from the sums by a constant.
+
+    ``slots``: features x tokens. With ``classes``, ``bias`` has a row for each
+    class. Tokens are taken as many at a time as stay near the processor.
+    """
+    taken = np.empty((min(NEAR_TOKENS, len(out)), out.shape[1]), np.float32)
+    for start in range(0, len(out), NEAR_TOKENS):
+        rows = out[start : start + NEAR_TOKENS]
+        more, at = taken[: len(rows)], slots[:, start : start + len(rows)]
+        weights.take(at[0], 0, rows, "clip")
+        for one in at[1:]:
+            weights.take(one, 0, more, "clip")
+            rows += more
+        if classes is None:
+            rows += bias
+        else:
+            bias.take(classes[start : start + len(rows)], 0, more, "clip")
+            rows += more
+        # sums that no exponential takes out of range need no shift
+        if not -SAFE < rows.min() <= rows.max() < SAFE:
+            rows -= rows.max(axis=1, keepdims=True)
+    return out
+
+
+def by_feature(slots: np.ndarray) -> np.ndarray:
+    """Features x tokens, as places that need no conversion where they are used."""
+    return np.ascontiguousarray(slots.T, dtype=np.intp)
+
+
+def row_sums(rows: np.ndarray) -> np.ndarray:
+    """Without BLAS, whose threads wait busily for so short a sum."""
+    return np.einsum("ij->i", rows)
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    score = raised(weights, bias, by_feature(slots), np.empty((len(slots), CLASSES), np.float32), classes)
+    score -= np.log(row_sums(np.exp(score)))[:, None]
     return score
 
 
+def log_chosen(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, goals: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """``log_softmax`` of the goal of each token only."""
+    score = raised(weights, bias, by_feature(slots), np.empty((len(slots), CLASSES), np.float32), classes)
+    chosen = score[np.arange(len(goals)), goals]
+    return chosen - np.log(row_sums(np.exp(score, out=score)))
+
+
+def summed_by_slot(gradient: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Gradients of the tokens of each slot of each feature, summed.
+
+    Returns the sums, their slots, the places of each feature's sums, and how many
+    tokens are in each. Sums stand by their number of tokens, the most first, so
+    that the first, second, third ... tokens of all that have one are added at once.
+    """
+    orders, firsts, hits, sizes = [], [], [], []
+    for k, own in enumerate(slots.astype(np.uint16)):
+        order = np.argsort(own, kind="stable")
+        ordered = own[order]
+        first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+        orders.append(order)
+        firsts.append(first + k * len(own))
+        hits.append(ordered[first])
+        sizes.append(np.diff(first, append=len(own)))
+    order, first, hit, size = map(np.concatenate, (orders, firsts, hits, sizes))
+    feature = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    by_size = np.argsort(-size, kind="stable")
+    first, hit, size, feature = first[by_size], hit[by_size].astype(np.intp), size[by_size], feature[by_size]
+    total = gradient.take(order[first], 0)
+    having = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")
+    for nth in range(1, size[0]):
+        some = having[nth]
+        if some <= FEW_SLOTS:
+            for i in range(some):
+                total[i] += gradient.take(order[first[i] + nth : first[i] + size[i]], 0).sum(axis=0)
+            break
+        total[:some] += gradient.take(order[first[:some] + nth], 0)
+    return total, hit, [np.flatnonzero(feature == k) for k in range(len(hits))], size
+
+
+def _rows(table: np.ndarray) -> np.ndarray:
+    """Rows as single items, which numpy puts in place faster."""
+    return table.view(np.dtype((np.void, table.shape[1] * table.itemsize)))[:, 0]
+
+
 def local_updates(
     model: Model, weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, goals: np.ndarray, power: np.ndarray, classes: np.ndarray | None = None
 ) -> None:
@@ -235,25 +368,25 @@ def local_updates(
     as it is, and ``power`` counts tokens by slot.
     """
     size = STEP_TOKENS if classes is None else BIN_STEP_TOKENS
+    places, held_rows = by_feature(slots), _rows(weights)
+    held = np.empty((min(size, len(goals)), CLASSES), np.float32)
     for start in range(0, len(goals), size):
-        part, goal = slots[start : start + size], goals[start : start + size]
-        own = bias if classes is None else bias[classes[start : start + size]]
-        gradient = np.exp(log_softmax(weights, own, part))
+        part, goal = places[:, start : start + size], goals[start : start + size]
+        gradient = raised(weights, bias, part, held[: len(goal)], None if classes is None else classes[start : start + size])
+        np.exp(gradient, out=gradient)
+        gradient *= (1 / row_sums(gradient))[:, None]
         gradient[np.arange(len(goal)), goal] -= 1
         if classes is None:
             bias -= RATE * 0.1 * gradient.mean(axis=0)
-        for k in range(part.shape[1]):
-            order = np.argsort(part[:, k], kind="stable")
-            sorted_slots = part[order, k]
-            first = np.flatnonzero(np.r_[True, sorted_slots[1:] != sorted_slots[:-1]])
-            summed = np.add.reduceat(gradient[order], first, axis=0)
-            hit = sorted_slots[first]
-            if classes is None:
-                power[hit] += (summed**2).mean(axis=1)
-                weights[hit] -= (RATE / np.sqrt(power[hit] + 1.0))[:, None] * summed
-            else:
-                power[hit] += np.diff(np.r_[first, len(sorted_slots)])
-                weights[hit] -= (BIN_RATE / (power[hit] + BIN_DAMPING))[:, None] * summed
+        summed, hit, of_feature, many = summed_by_slot(gradient, part)
+        more = np.einsum("ij,ij->i", summed, summed) / np.float32(CLASSES) if classes is None else many
+        for at in of_feature:
+            own = hit[at]
+            power[own] += more[at]
+            rate = RATE / np.sqrt(power[own] + 1.0) if classes is None else BIN_RATE / (power[own] + BIN_DAMPING)
+            step = summed.take(at, 0)
+            step *= rate.astype(np.float32)[:, None]
+            held_rows[own] = _rows(np.subtract(weights.take(own, 0), step, out=step))
 
 
 def _trainer(shared, turn: int, rounds: int):
@@ -267,8 +400,7 @@ def _trainer(shared, turn: int, rounds: int):
                     continue
                 lengths = batch.column(2)[i].values.to_numpy()
                 tokens = np.frombuffer(zstandard.decompress(batch.column(3)[i].as_py()), "<i4")
-                words = batch.column(4)[i].as_py()
-                hashes, classes, bins = block_hashes(words), model.classes(words), model.bins(words)
+                hashes, classes, bins = block_words(model, batch.column(4)[i].values)
                 learn = ~np.array(batch.column(1)[i].as_py(), bool)
                 for part, of in chunks(tokens, lengths):
                     use = np.repeat(learn[of], lengths[of])
@@ -394,10 +526,11 @@ def log_bins(model: Model, slots: np.ndarray, classes: np.ndarray, bins: np.ndar
 
     Unknown words are one outcome of their class: what all its bins leave.
     """
-    found = log_softmax(model.weights, model.bin_bias[classes], bin_slots(slots, classes))
-    out = found[np.arange(len(found)), bins] / math.log(10) + own
+    slots = bin_slots(slots, classes)
+    out = log_chosen(model.weights, model.bin_bias, slots, bins, classes) / math.log(10) + own
     new = np.flatnonzero(~known)
-    left = (np.exp(found[new]) * model.unknown[classes[new]]).sum(axis=1)
+    found = log_softmax(model.weights, model.bin_bias, slots[new], classes[new])
+    left = (np.exp(found) * model.unknown[classes[new]]).sum(axis=1)
     out[new] = np.log10(np.maximum(left, 1e-300))
     return out
 
@@ -414,20 +547,18 @@ def _scorer(shared, train_tokens: int, known_words: int):
             for i in range(batch.num_rows):
                 lengths = batch.column(2)[i].values.to_numpy()
                 tokens = np.frombuffer(zstandard.decompress(batch.column(3)[i].as_py()), "<i4")
-                words = batch.column(4)[i].as_py()
-                c, known = np.zeros(len(words)), batch.column(5)[i].values.to_numpy()
+                hashes, classes, bins = block_words(model, batch.column(4)[i].values)
+                c, known = np.zeros(len(classes)), batch.column(5)[i].values.to_numpy()
                 c[known >> PLACE_BITS] = known & ((1 << PLACE_BITS) - 1)
-                classes, bins = model.classes(words), model.bins(words)
                 base = np.log10((c + 1) / (train_tokens + known_words + 1))
                 own = within_class(model, classes, c, bins)
-                hashes, by_class, inside = block_hashes(words), np.empty(len(tokens)), np.zeros(len(tokens))
+                by_class, inside = np.empty(len(tokens)), np.zeros(len(tokens))
                 for part, of in chunks(tokens, lengths):
                     slots, places, found = history_slots(*hashes, tokens[part], lengths[of]), tokens[part], by_class[part]
                     goal = classes[places]
                     for start in range(0, len(goal), STEP_TOKENS):
                         step = slice(start, start + STEP_TOKENS)
-                        chosen = log_softmax(model.weights, model.bias, slots[step])
-                        found[step] = chosen[np.arange(len(chosen)), goal[step]] / math.log(10)
+                        found[step] = log_chosen(model.weights, model.bias, slots[step], goal[step]) / math.log(10)
                     inner = np.flatnonzero(goal > HEAD)
                     for start in range(0, len(inner), STEP_TOKENS):
                         step = inner[start : start + STEP_TOKENS]

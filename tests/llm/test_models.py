@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,41 @@ def test_words_and_unknown_ones_of_a_class_sum_to_one():
     assert (10 ** language_model.log_bins(model, slots, classes, bins, own, c > 0)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_sums_by_slot_and_crc32_of_parts_are_those_of_plain_loops():
+    rng = np.random.default_rng(5)
+    gradient = rng.normal(size=(900, language_model.CLASSES)).astype(np.float32)
+    # one slot with most tokens, some with a few, many alone, and slots that two features share
+    slots = np.array([np.where(rng.random(900) < share, 7, rng.integers(0, many, 900)) for share, many in ((0.8, 30), (0.0, 8000), (0.3, 300))])
+    total, hit, of_feature, many = language_model.summed_by_slot(gradient, slots)
+    for own, at in zip(slots, of_feature):
+        assert sorted(hit[at]) == sorted(set(own)) and many[at].sum() == 900
+        for i in at:
+            assert many[i] == (own == hit[i]).sum()
+            assert total[i] == pytest.approx(gradient[own == hit[i]].sum(axis=0), abs=1e-3)
+    words = [b"", b"a", b"ab", b"abc", b"abcdefgh", "äöü".encode(), bytes(range(1, 9))]
+    tails, beginnings = language_model.crc32_of_parts(pa.array([b"zz", *words], pa.binary()).slice(1))
+    assert tails.tolist() == [zlib.crc32(w[-2:]) for w in words]
+    assert beginnings.tolist() == [zlib.crc32(w[:3]) for w in words]
+
+
+def test_softmax_of_sums_out_of_range_of_the_exponential():
+    weights = np.zeros((4, language_model.CLASSES), np.float32)
+    weights[1, 3], weights[2] = 500, -400
+    slots = np.array([[0, 0], [1, 1], [2, 2], [1, 2]], np.uint16)
+    found = language_model.log_softmax(weights, np.zeros(language_model.CLASSES, np.float32), slots)
+    assert np.exp(found).sum(axis=1) == pytest.approx(np.ones(4), abs=1e-5)
+    chosen = language_model.log_chosen(weights, np.zeros(language_model.CLASSES, np.float32), slots, np.full(4, 3))
+    assert chosen == pytest.approx(found[:, 3], abs=1e-5) and chosen[1] == 0
+
+
+def test_places_of_words_in_classes_and_bins_are_found_by_their_crc32():
+    words = [b"", *(f"w{i}".encode() for i in range(3000))]
+    model = language_model.Model(words[1:40], np.ones(language_model.CLASSES), np.ones(language_model.CLASSES), 0.5, {w: i for i, w in enumerate(words[100:140])})
+    _, classes, bins = language_model.block_words(model, pa.array(words, pa.binary()))
+    assert classes.tolist() == [0] + [model.head.get(w) or language_model.ending_class(w) for w in words[1:]]
+    assert bins.tolist() == [model.own.get(w, language_model.shared_bin(w)) for w in words]
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     slots = rng.integers(0, 50, size=(4000, 4)).astype(np.uint16)

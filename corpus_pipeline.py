@@ -7,12 +7,14 @@ documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import querent
 from querent.llm import langid, mixing, near_dup, packing, toxicity
-from querent.session import stored
+from querent.session import small_batches, stored
 from querent.sources.files import scan_parquet
 
 # Run from a checkout, the package is not installed on the workers.
@@ -44,12 +46,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+def _bounded(stage):
+    """The stage, with whole texts passed to Python in small batches."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language),
-    ("toxicity", toxic),
-    ("near_duplicates", near_duplicates),
-    ("source_mix", mix),
-    ("packing", packed),
+    ("language_id", _bounded(language)),
+    ("toxicity", _bounded(toxic)),
+    ("near_duplicates", _bounded(near_duplicates)),
+    ("source_mix", _bounded(mix)),
+    ("packing", _bounded(packed)),
 ]
 
 #: SQL can express neither the trained models nor the hashes; tests compare with brute force.

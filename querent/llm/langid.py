@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import fold, fresh, shared_object
+from querent.llm.common import fold, shared_object
 
 DIMS = 2048
 ORDERS = (1, 2, 3)
@@ -163,6 +163,19 @@ def fit_language_id(docs: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS)
     return fit_centroids(rows) if rows else None
 
 
+def judged(model: CentroidModel | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and whether it is rejected, of each text."""
+    lang, score, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    for start in range(0, len(texts) if model else 0, BATCH):
+        counts = [ngram_counts(t.as_py(), len(model.idf)) for t in texts.slice(start, BATCH)]
+        where = [i for i, c in enumerate(counts) if c is not None]
+        if where:
+            best, cosine, too_far = model.predict(np.array([counts[i] for i in where]))
+            for i, b, s, f in zip(where, best, cosine, too_far):
+                lang[start + i], score[start + i], far[start + i] = model.langs[b], s, f
+    return lang, score, far
+
+
 def identify(docs: DataFrame, model: CentroidModel | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
@@ -176,15 +189,7 @@ def identify(docs: DataFrame, model: CentroidModel | None, text: str = "text") -
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(shared.value)
         for batch in batches:
-            texts = batch.column(at)
-            lang, score, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for start in range(0, len(texts) if known else 0, BATCH):
-                counts = [ngram_counts(t.as_py(), len(known.idf)) for t in texts.slice(start, BATCH)]
-                where = [i for i, c in enumerate(counts) if c is not None]
-                if where:
-                    best, cosine, too_far = known.predict(np.array([counts[i] for i in where]))
-                    for i, b, s, f in zip(where, best, cosine, too_far):
-                        lang[start + i], score[start + i], far[start + i] = known.langs[b], s, f
+            lang, score, far = judged(known, batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())],
                 names=[*batch.schema.names, "lang_pred", "score", "rejected"],
@@ -201,10 +206,12 @@ def learned_rows(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
     model = fit_language_id(learned_rows(docs), fit_rows)
-    name = fresh(docs, "kept_text")
-    judged = identify(docs.select(*docs.columns, F.col("text").alias(name)).withColumnsRenamed(
-        {c: f"own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected")}
-    ), model, name)
-    kept = judged.filter(~F.col("rejected"))
-    own = {c: f"own_{c}" if c.lower() in ("lang_pred", "score", "rejected") else c for c in docs.columns}
-    return kept.select(*[F.col(have).alias(c) for c, have in own.items()])
+    shared = shared_object(docs.sparkSession, model)
+
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pickle.loads(shared.value)
+        for texts in batches:
+            yield pa.array(~judged(known, texts)[2], pa.bool_())
+
+    # only the text goes to Python, and one truth value comes back
+    return docs.filter(F.arrow_udf(accepted, "boolean")("text"))

@@ -204,6 +204,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     return ToxicityModel(lexicon, terms, weights, bias, accuracies, correlation)
 
 
+def text_scores(model: ToxicityModel | None, texts: pa.Array) -> np.ndarray:
+    """The score of each text."""
+    score = np.zeros(len(texts))
+    if not model:
+        return score
+    index, lexicon = {t: i for i, t in enumerate(model.terms)}, set(model.lexicon)
+    for i, value in enumerate(texts):
+        own = value.as_py()
+        x = text_features(term_set(own), shape(own), index, lexicon)
+        score[i] = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
+    return score
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
     """``docs`` with ``score``: 0 to 1, higher the likelier toxic; 0 without a model.
 
@@ -215,14 +228,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "te
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(shared.value)
-        if known:
-            index, lexicon = {t: i for i, t in enumerate(known.terms)}, set(known.lexicon)
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for i, value in enumerate(batch.column(at) if known else []):
-                own = value.as_py()
-                x = text_features(term_set(own), shape(own), index, lexicon)
-                score[i] = 1 / (1 + np.exp(-np.clip(x @ known.weights + known.bias, -30, 30)))
+            score = text_scores(known, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
@@ -236,6 +243,12 @@ def learned_labels(labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that score below ``threshold``, with their own columns."""
     model = fit_toxicity(docs, learned_labels(labels), fit_rows)
-    own = {c: f"own_{c}" if c.lower() == "score" else c for c in docs.columns}
-    judged = score_toxicity(docs.withColumnsRenamed(own), model, own.get("text", "text"))
-    return judged.filter(F.col("score") < threshold).select(*[F.col(have).alias(c) for c, have in own.items()])
+    shared = shared_object(docs.sparkSession, model)
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pickle.loads(shared.value)
+        for texts in batches:
+            yield pa.array(text_scores(known, texts), pa.float64())
+
+    # only the text goes to Python, and one number comes back
+    return docs.filter(F.arrow_udf(scored, "double")("text") < threshold)

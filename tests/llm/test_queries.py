@@ -53,3 +53,37 @@ def test_pipeline_stages(spark):
     run = corpus_pipeline.run(spark, sf)
     key = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert key(run) == key(pieces)
+
+
+def test_pipeline_hands_texts_to_python_in_small_batches(spark):
+    from querent import session
+
+    before, own = {key: spark.conf.get(key) for key in session.BATCHES}, spark.conf.getAll
+    # texts of 20 MB in one partition
+    docs = spark.range(5000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some words ', 370) AS text", "'en' AS lang", "'a' AS source")
+    try:
+        corpus_pipeline.STAGES[0][1](spark, docs, str(SF_DIR))
+        sizes = docs.select("text").mapInArrow(_sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in sizes) == 5000 and all(r["rows"] <= 1000 and r["bytes"] < 6 << 20 for r in sizes)
+        # a session's own setting stays
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+        session.small_batches(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+    finally:
+        for key in session.BATCHES:
+            spark.conf.set(key, before[key]) if key in own else spark.conf.unset(key)
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+
+def test_stages_of_language_and_toxicity_send_only_texts_to_python(spark):
+    """Before, all columns went to Python and back, the text twice."""
+    docs = spark.read.parquet(str(SF_DIR / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        plan = stage(spark, docs, str(SF_DIR))._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan

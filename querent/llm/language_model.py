@@ -59,7 +59,7 @@ STEP_TOKENS = 8192
 RATE = 0.25
 BLOCK_BYTES = 8 << 20
 #: Tokens whose exponents are made at a time; exponents below which none goes out of range.
-NEAR_TOKENS, SAFE = 512, 60.0
+NEAR_TOKENS, SAFE = 1024, 60.0
 #: Slots with so many tokens that no more than this have as many are summed one by one.
 FEW_SLOTS = 16
 #: Tokens whose features are held at a time; texts are not split.
@@ -274,16 +274,22 @@ def bin_slots(slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (slots ^ mixed[:, None]) + np.uint16(SLOTS)
 
 
-def raised(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, out: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
-    """Exponents of the softmax of some tokens into ``out``; those of a token may differ from the sums by a constant.
+def raised(
+    weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, classes: np.ndarray | None = None, out: np.ndarray | None = None
+) -> Iterator[tuple[slice, np.ndarray]]:
+    """Exponents of the softmax of some tokens; those of a token may differ from the sums by a constant.
 
     ``slots``: features x tokens. With ``classes``, ``bias`` has a row for each
-    class. Tokens are taken as many at a time as stay near the processor.
+    class. Tokens come as many at a time as stay near the processor, with their
+    places; without ``out`` the next ones overwrite them.
     """
-    taken = np.empty((min(NEAR_TOKENS, len(out)), out.shape[1]), np.float32)
-    for start in range(0, len(out), NEAR_TOKENS):
-        rows = out[start : start + NEAR_TOKENS]
-        more, at = taken[: len(rows)], slots[:, start : start + len(rows)]
+    count = slots.shape[1]
+    taken = np.empty((min(NEAR_TOKENS, count), CLASSES), np.float32)
+    own = np.empty_like(taken) if out is None else out
+    for start in range(0, count, NEAR_TOKENS):
+        places = slice(start, min(start + NEAR_TOKENS, count))
+        at = slots[:, places]
+        rows, more = own[: at.shape[1]] if out is None else out[places], taken[: at.shape[1]]
         weights.take(at[0], 0, rows, "clip")
         for one in at[1:]:
             weights.take(one, 0, more, "clip")
@@ -291,12 +297,12 @@ def raised(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, out: np.nda
         if classes is None:
             rows += bias
         else:
-            bias.take(classes[start : start + len(rows)], 0, more, "clip")
+            bias.take(classes[places], 0, more, "clip")
             rows += more
         # sums that no exponential takes out of range need no shift
         if not -SAFE < rows.min() <= rows.max() < SAFE:
             rows -= rows.max(axis=1, keepdims=True)
-    return out
+        yield places, rows
 
 
 def by_feature(slots: np.ndarray) -> np.ndarray:
@@ -309,49 +315,68 @@ def row_sums(rows: np.ndarray) -> np.ndarray:
     return np.einsum("ij->i", rows)
 
 
+def column_sums(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij->j", rows)
+
+
 def log_softmax(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
-    score = raised(weights, bias, by_feature(slots), np.empty((len(slots), CLASSES), np.float32), classes)
-    score -= np.log(row_sums(np.exp(score)))[:, None]
+    score = np.empty((len(slots), CLASSES), np.float32)
+    for _, rows in raised(weights, bias, by_feature(slots), classes, score):
+        rows -= np.log(row_sums(np.exp(rows)))[:, None]
     return score
 
 
 def log_chosen(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, goals: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
     """``log_softmax`` of the goal of each token only."""
-    score = raised(weights, bias, by_feature(slots), np.empty((len(slots), CLASSES), np.float32), classes)
-    chosen = score[np.arange(len(goals)), goals]
-    return chosen - np.log(row_sums(np.exp(score, out=score)))
+    found = np.empty(len(goals), np.float32)
+    for places, rows in raised(weights, bias, by_feature(slots), classes):
+        chosen = rows[np.arange(len(rows)), goals[places]]
+        found[places] = chosen - np.log(row_sums(np.exp(rows, out=rows)))
+    return found
 
 
-def summed_by_slot(gradient: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+def summed_by_slot(gradient: np.ndarray, slots: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Gradients of the tokens of each slot of each feature, summed.
 
-    Returns the sums, their slots, the places of each feature's sums, and how many
-    tokens are in each. Sums stand by their number of tokens, the most first, so
-    that the first, second, third ... tokens of all that have one are added at once.
+    ``slots``: features x tokens, all of one softmax. Returns the sums, their
+    slots, the places of each feature's sums, and how many tokens are in each. Sums
+    stand by their number of tokens, the most first, so that the first, second,
+    third ... tokens of all that have one are added at once. ``room``: where sums
+    and what is added to them may stand, a row for each slot of each token and one
+    for each token; sums are good until it is used again.
     """
-    orders, firsts, hits, sizes = [], [], [], []
-    for k, own in enumerate(slots.astype(np.uint16)):
-        order = np.argsort(own, kind="stable")
-        ordered = own[order]
-        first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-        orders.append(order)
-        firsts.append(first + k * len(own))
-        hits.append(ordered[first])
-        sizes.append(np.diff(first, append=len(own)))
-    order, first, hit, size = map(np.concatenate, (orders, firsts, hits, sizes))
-    feature = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    by_size = np.argsort(-size, kind="stable")
-    first, hit, size, feature = first[by_size], hit[by_size].astype(np.intp), size[by_size], feature[by_size]
-    total = gradient.take(order[first], 0)
+    features, count = slots.shape
+    if room is None:
+        room = np.empty(((features + 1) * count, gradient.shape[1]), np.float32)
+    each = np.arange(features)[:, None]
+    # features times slots of a softmax are below 2**16: one sort by feature and slot
+    key = ((slots & (SLOTS - 1)) + each * SLOTS).astype(np.uint16).ravel()
+    order = np.argsort(key, kind="stable")
+    size = np.bincount(key, minlength=features * SLOTS)
+    having = np.flatnonzero(size > 0)
+    size = size[having]
+    first = np.cumsum(size) - size
+    hit = slots.ravel()[order[first]]
+    order = (order.reshape(features, count) - each * count).ravel()
+    by_size = np.argsort((count - size).astype(np.uint16), kind="stable")
+    place = np.empty_like(by_size)
+    place[by_size] = np.arange(len(by_size))
+    of_feature = np.split(place, np.searchsorted(having, np.arange(1, features) * SLOTS))
+    first, hit, size = first[by_size], hit[by_size], size[by_size]
+    total, added, near = room[: len(size)], room[-count:], min(NEAR_TOKENS, count)
+    gradient.take(order[first], 0, total, "clip")
     having = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")
     for nth in range(1, size[0]):
         some = having[nth]
         if some <= FEW_SLOTS:
             for i in range(some):
-                total[i] += gradient.take(order[first[i] + nth : first[i] + size[i]], 0).sum(axis=0)
+                rest = order[first[i] + nth : first[i] + size[i]]
+                total[i] += column_sums(gradient.take(rest, 0, added[: len(rest)], "clip"))
             break
-        total[:some] += gradient.take(order[first[:some] + nth], 0)
-    return total, hit, [np.flatnonzero(feature == k) for k in range(len(hits))], size
+        for start in range(0, some, near):
+            at = slice(start, min(start + near, some))
+            total[at] += gradient.take(order[first[at] + nth], 0, added[: at.stop - start], "clip")
+    return total, hit, of_feature, size
 
 
 def _rows(table: np.ndarray) -> np.ndarray:
@@ -367,37 +392,40 @@ def local_updates(
     With ``classes``, goals are bins, ``bias`` has a row for each class and stays
     as it is, and ``power`` counts tokens by slot.
     """
-    size = STEP_TOKENS if classes is None else BIN_STEP_TOKENS
+    size = min(STEP_TOKENS if classes is None else BIN_STEP_TOKENS, max(1, len(goals)))
     places, held_rows = by_feature(slots), _rows(weights)
-    held = np.empty((min(size, len(goals)), CLASSES), np.float32)
+    held = np.empty((size, CLASSES), np.float32)
+    room = np.empty(((len(places) + 1) * size, CLASSES), np.float32)
     for start in range(0, len(goals), size):
         part, goal = places[:, start : start + size], goals[start : start + size]
-        gradient = raised(weights, bias, part, held[: len(goal)], None if classes is None else classes[start : start + size])
-        np.exp(gradient, out=gradient)
-        gradient *= (1 / row_sums(gradient))[:, None]
-        gradient[np.arange(len(goal)), goal] -= 1
+        gradient = held[: len(goal)]
+        for at, rows in raised(weights, bias, part, None if classes is None else classes[start : start + size], gradient):
+            np.exp(rows, out=rows)
+            rows *= (1 / row_sums(rows))[:, None]
+            rows.ravel()[np.arange(len(rows)) * CLASSES + goal[at]] -= 1
         if classes is None:
-            bias -= RATE * 0.1 * gradient.mean(axis=0)
-        summed, hit, of_feature, many = summed_by_slot(gradient, part)
+            bias -= RATE * 0.1 * (column_sums(gradient) / np.float32(len(goal)))
+        summed, hit, of_feature, many = summed_by_slot(gradient, part, room)
         more = np.einsum("ij,ij->i", summed, summed) / np.float32(CLASSES) if classes is None else many
+        rate = np.empty(len(hit), np.float32)
         for at in of_feature:
             own = hit[at]
             power[own] += more[at]
-            rate = RATE / np.sqrt(power[own] + 1.0) if classes is None else BIN_RATE / (power[own] + BIN_DAMPING)
-            step = summed.take(at, 0)
-            step *= rate.astype(np.float32)[:, None]
-            held_rows[own] = _rows(np.subtract(weights.take(own, 0), step, out=step))
+            rate[at] = RATE / np.sqrt(power[own] + 1.0) if classes is None else BIN_RATE / (power[own] + BIN_DAMPING)
+        summed *= rate[:, None]
+        for at in of_feature:
+            # a feature has no more slots than tokens, and the gradient is summed
+            own, step, old = hit[at], gradient[: len(at)], room[-len(goal) :][: len(at)]
+            held_rows[own] = _rows(np.subtract(weights.take(own, 0, old, "clip"), summed.take(at, 0, step, "clip"), out=step))
 
 
-def _trainer(shared, turn: int, rounds: int):
+def _trainer(shared):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         weights, bias = model.weights.copy(), model.bias.copy()
         power, seen, total = np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float64), 0
         for batch in batches:
             for i in range(batch.num_rows):
-                if batch.column(0)[i].as_py() % rounds != turn:
-                    continue
                 lengths = batch.column(2)[i].values.to_numpy()
                 tokens = np.frombuffer(zstandard.decompress(batch.column(3)[i].as_py()), "<i4")
                 hashes, classes, bins = block_words(model, batch.column(4)[i].values)
@@ -416,9 +444,11 @@ def _trainer(shared, turn: int, rounds: int):
         if total:
             moved = weights - model.weights
             slots = np.flatnonzero(seen)
+            sent = np.vstack([moved[slots] * seen[slots, None].astype(np.float32), (bias - model.bias) * np.float32(total)]).astype("<f4")
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * CLASSES), len(sent), [None, pa.py_buffer(sent)])
             rows = pa.RecordBatch.from_arrays(
                 [pa.array(np.append(slots, -1), pa.int32()), pa.array(np.append(seen[slots], total), pa.float64()),
-                 pa.array([(moved[s] * np.float32(seen[s])).astype("<f4").tobytes() for s in slots] + [((bias - model.bias) * np.float32(total)).astype("<f4").tobytes()], pa.binary())],
+                 raw.cast(pa.binary())],
                 names=["slot", "seen", "moved"],
             )
             yield from (rows.slice(i, 1024) for i in range(0, rows.num_rows, 1024))
@@ -450,7 +480,8 @@ def train_classes(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Mode
     needed = blocks.select("block", "held", "lengths", "tokens", "words")
     for turn in range(rounds):
         shared = shared_object(spark, model)
-        sent = needed.mapInArrow(_trainer(shared, turn, rounds), "slot int, seen double, moved binary")
+        own = needed.filter(F.pmod("block", F.lit(rounds)) == turn)
+        sent = own.mapInArrow(_trainer(shared), "slot int, seen double, moved binary")
         means = sent.repartition(8, "slot").mapInArrow(_summed, "slot int, moved binary").toArrow()
         for slot, raw in zip(means.column("slot").to_pylist(), means.column("moved").to_pylist()):
             change = np.frombuffer(raw, "<f4")

@@ -128,6 +128,36 @@ def test_sums_by_slot_and_crc32_of_parts_are_those_of_plain_loops():
     assert beginnings.tolist() == [zlib.crc32(w[:3]) for w in words]
 
 
+@pytest.mark.parametrize("count", [1, 4, 90, 1500])
+def test_sums_by_slot_stand_in_the_room_given(count):
+    rng, features = np.random.default_rng(6), language_model.FEATURES
+    room = np.full(((features + 1) * 1500, language_model.CLASSES), np.nan, np.float32)
+    gradient = rng.normal(size=(count, language_model.CLASSES)).astype(np.float32)
+    # tokens in pairs: more slots have a second token than there are tokens
+    slots = np.array([rng.permutation(np.arange(count) // 2) for _ in range(features)]) + language_model.SLOTS
+    total, hit, of_feature, many = language_model.summed_by_slot(gradient, slots, room)
+    assert np.shares_memory(total, room) and many.sum() == slots.size
+    for own, at in zip(slots, of_feature):
+        assert sorted(hit[at]) == sorted(set(own))
+        for i in at:
+            assert total[i] == pytest.approx(gradient[own == hit[i]].sum(axis=0), abs=1e-5)
+
+
+def test_updates_of_a_short_last_step_and_of_no_tokens():
+    rng, steps = np.random.default_rng(7), language_model.BIN_STEP_TOKENS
+    model = language_model.Model([], np.ones(language_model.CLASSES), np.ones(language_model.CLASSES), 0.5)
+    slots = rng.integers(0, 3, size=(steps + 5, language_model.FEATURES)).astype(np.uint16) + np.uint16(language_model.SLOTS)
+    goals, classes = rng.integers(0, language_model.BINS, steps + 5), rng.integers(0, language_model.CLASSES, steps + 5)
+    found = []
+    for parts in ([slice(None), slice(0, 0)], [slice(0, steps), slice(steps, None)]):
+        weights, power = model.weights.copy(), np.zeros(language_model.ROWS, np.float32)
+        for part in parts:
+            language_model.local_updates(model, weights, model.bin_bias, slots[part], goals[part], power, classes[part])
+        found.append((weights, power))
+    assert (found[0][0] == found[1][0]).all() and (found[0][1] == found[1][1]).all()
+    assert found[0][1].sum() == slots.size and np.isfinite(found[0][0]).all()
+
+
 def test_softmax_of_sums_out_of_range_of_the_exponential():
     weights = np.zeros((4, language_model.CLASSES), np.float32)
     weights[1, 3], weights[2] = 500, -400

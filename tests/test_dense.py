@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,84 @@ def test_unusable_vectors_are_errors(spark, tmp_path, bad, limits):
         dense.vector_topk(items.filter("item_id = 1"), other, 2, limits=limits).collect()
     with pytest.raises(ValueError):
         dense.vector_topk(items, asked, 2, within=True, mode="both")
+
+
+MANY = [GRID, Limits(broadcast_queries=0), Limits(broadcast_queries=20, cell_bytes=4_000)]
+
+
+def close(spark, n_items, n_queries, n_dbs):
+    """Items and queries on few places, so that ties are many; ids, databases and vectors repeat or are absent."""
+    rng = np.random.default_rng(11)
+    held, asked = (rng.integers(0, 3, size=(n, 8)).astype(float) for n in (n_items, n_queries))
+    held[20:30], held[40] = held[0], 0
+    asked[0], asked[1] = held[0], 0
+    db = lambda i: None if i % 37 == 5 else "" if i % 41 == 7 else f"d{i % n_dbs}"
+    items = [(i - 10 if 60 <= i < 70 else i, db(i), v.tolist()) for i, v in enumerate(held)]
+    rows = [(i or None, "none" if i % 29 == 3 else db(i), v.tolist()) for i, v in enumerate(asked)]
+    rows += rows[10:15] + [(i, db(i + i % 2), asked[i + 1].tolist()) for i in range(15, 25)]
+    return (
+        spark.createDataFrame(items, "item_id long, db_id string, v array<double>").withColumn("corpus_idx", F.col("item_id")),
+        spark.createDataFrame(rows, "query_id long, db_id string, v array<float>"),
+    )
+
+
+@pytest.mark.parametrize("limits", MANY, ids=["rounds", "cells", "rounds then broadcast"])
+def test_post_filter_of_many_queries_is_the_same(spark, limits):
+    items, asked = close(spark, 500, 80, 12)
+    for k, overfetch in ((3, 4), (2, 1), (4, 1_000)):
+        rows = []
+        for given in (Limits(), limits):
+            hits = dense.vector_topk(items, asked, k, within=True, overfetch=overfetch, limits=given)
+            shown = hits.withColumns({name: F.round(name, 6) for name in ("distance", "similarity")})
+            rows.append((hits.columns, sorted(shown.collect(), key=str)))
+        assert rows[0] == rows[1]
+        assert rows[0][1]
+
+
+def test_post_filter_of_many_queries_ranks_no_others(spark, monkeypatch):
+    """Pairs with items of other databases are counted while they matter, not ranked."""
+    items, asked = close(spark, 600, 60, 20)
+    ranked, plain = spark.sparkContext.accumulator(0), dense._distance_scorer
+
+    def scorer(queries):
+        score = plain(queries)
+
+        def counted(block):
+            ranked.add(queries.num_rows * block.num_rows)
+            return score(block)
+
+        return counted
+
+    monkeypatch.setattr(dense, "_distance_scorer", scorer)
+    asked = asked.filter("coalesce(db_id, '') <> ''")
+    assert dense.vector_topk(items, asked, 3, within=True, limits=Limits(broadcast_queries=0)).count()
+    assert 0 < ranked.value < items.count() * asked.count() / 10
+
+
+def test_counting_ends_with_enough_before(monkeypatch):
+    def batch(ids, vectors, **more):
+        return pa.table({"query_id": ids, "item_id": ids, "v": vectors, "corpus_idx": ids, **more})
+
+    asked = batch([7, 8], [[1.0, 0.0], [0.0, 1.0]]).drop(["corpus_idx"])
+    for name, lists in {"tied": [[-0.5, -1.0], [-0.5]], "corpus_idx": [[3, 4], [5]], "ahead": [[0, 1], [0]]}.items():
+        asked = asked.append_column(name, pa.array(lists))
+    near = batch(list(range(100)), [[1.0, 0.0]] * 100).to_batches()[0]
+    monkeypatch.setattr(dense, "BLOCK_ITEMS", 10)
+    counted, blocks = dense._Ahead(asked, 2, 4), []
+    count = counted._count
+    counted._count = lambda rows, *rest: (blocks.append(list(rows)), count(rows, *rest))
+    counted.add(near)
+    assert blocks == [[0, 1]] + [[1]] * 9
+    schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int64()), ("n", pa.int64())])
+    assert counted.found(schema).to_pylist() == [{"query_id": 7, "rank": 1, "n": 10}, {"query_id": 7, "rank": 2, "n": 10}]
+
+
+def test_unusable_vectors_of_many_queries_are_errors(spark):
+    schema = "{} long, corpus_idx long, db_id string, v array<double>"
+    items = spark.createDataFrame([(1, 1, "a", [1.0, 2.0]), (7, 2, "b", [float("nan"), 0.0])], schema.format("item_id"))
+    asked = spark.createDataFrame([(0, 0, "a", [0.0, 1.0]), (9, 0, "none", [1.0])], schema.format("query_id")).drop("corpus_idx")
+    many = Limits(broadcast_queries=0)
+    with pytest.raises(Exception, match="7"):
+        dense.vector_topk(items, asked.filter("query_id = 0"), 2, within=True, limits=many).collect()
+    with pytest.raises(Exception, match="9"):
+        dense.vector_topk(items.filter("item_id = 1"), asked, 2, within=True, limits=many).collect()
